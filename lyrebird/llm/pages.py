@@ -112,7 +112,8 @@ def main_bodies(pages: DataFrame, page_id: str = "page_id", html: str = "html_co
     null or empty html, or without a main body, give no row; repeated rows give repeated rows.
     """
     kept = staged(candidate_blocks(pages, page_id, html, url), "blocks")
-    notes = site_notes(kept).groupBy("site").agg(F.collect_set("mask").alias("notes"))
+    # kept as a table, so that the planner knows its size before it chooses how to join
+    notes = staged(site_notes(kept).groupBy("site").agg(F.collect_set("mask").alias("notes")), "notes")
     free = F.filter("blocks", lambda b: b.mask.isNull() | ~F.array_contains(F.coalesce(F.col("notes"), F.array().cast("array<bigint>")), b.mask))
     return kept.join(notes, "site", "left").select("page_id", F.transform(free, lambda b: F.struct(b.key.alias("key"), b.words.alias("words"))).alias("blocks")).where(F.size("blocks") > 0)
 
