@@ -67,3 +67,35 @@ def tokens(text: Column | str, min_length: int = 2, lowercase: bool = True, stop
         listed = F.array(*(F.lit(w) for w in stopwords))
         return F.filter(found, lambda t: ~F.array_contains(listed, t))
     return found
+
+
+#: Stop words, Russian and English. Fixed values.
+STOP_WORDS = (
+    "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только её мне было вот от меня ещё "
+    "нет о из ему для при без до под над об про это этот эта эти был была были быть есть или также году года лет который "
+    "которая которое которые где когда если чем the a an and or but in on at to for of with is was are were been be have "
+    "has had it its"
+).split()
+
+
+def without_numbers(found: Column) -> Column:
+    """The tokens that aren't digits alone."""
+    return F.filter(found, lambda t: ~t.rlike("^[0-9]+$"))
+
+
+def html_escape(c: Column | str) -> Column:
+    """< > & and the double quote as entities."""
+    out = _col(c)
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out
+
+
+def url_decode(c: Column | str) -> Column:
+    """%XX and + decoded; a text with a malformed escape stays as it is."""
+    return F.coalesce(F.try_url_decode(_col(c)), _col(c))
+
+
+def content_hash(c: Column | str) -> Column:
+    """SHA-256 of the text's UTF-8 bytes in lower-case hex."""
+    return F.sha2(_col(c), 256)
