@@ -92,7 +92,7 @@ def read_binary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     for row in _read(path):
         (docs if row[0] == "doc" else lists).append(row[1:])
     d = spark.createDataFrame(docs, "doc_id bigint, title string, url string")
-    p = spark.createDataFrame(lists, T.StructType().add("term", "string").add("ids", "array<bigint>"))
+    p = spark.createDataFrame(lists, "term string, ids array<bigint>")
     return d, p.select("term", F.explode("ids").alias("doc_id"))
 
 

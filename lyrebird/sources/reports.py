@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 def write_rank_table(ranks: DataFrame, path: str) -> None:
     """rank, frequency and term by tabs, with a heading, in files ordered by rank."""
-    named = ranks.select(F.col("rank").alias("# Rank"), F.col("cnt").alias("Frequency"), F.col("term").alias("Term"))
-    named.repartitionByRange("# Rank").sortWithinPartitions("# Rank").write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    lines = ranks.select("rank", F.concat_ws("\t", "rank", "cnt", "term").alias("value"))
+    head = ranks.sparkSession.createDataFrame([(0, "# Rank\tFrequency\tTerm")], "rank bigint, value string")
+    ordered = head.unionByName(lines).repartitionByRange("rank").sortWithinPartitions("rank")
+    ordered.select("value").write.mode("overwrite").text(path)
 
 
 def plot_script(data: str, image: str, title: str, total: int, b: float, rho: float, p: float) -> str:
