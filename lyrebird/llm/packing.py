@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,27 +44,34 @@ def pack(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     class, so a step costs as many operations as there are different items, not items."""
     if not len(demand):
         return np.zeros(0, np.int64)
-    kinds, of, count = np.unique(demand, axis=0, return_inverse=True, return_counts=True)
+    kinds, of, count = np.unique(demand, axis=0, return_inverse=True, return_counts=True)  # by rising first dimension
     of = of.ravel()
     members = np.split(np.argsort(of, kind="stable"), np.cumsum(count)[:-1])
-    share = kinds / limits
-    used = np.zeros(len(kinds), np.int64)
+    first = kinds[:, 0].tolist()
+    columns = [np.ascontiguousarray(kinds[:, d]) for d in range(1, kinds.shape[1])]
+    share = np.ascontiguousarray((kinds / limits).T)
+    used = [0] * len(kinds)
     out = np.zeros(len(demand), np.int64)
-    alive = np.arange(len(kinds))
-    number = 0
-    while len(alive):
-        room = limits.astype(np.float64)
+    open_, whole, number, todo = np.ones(len(kinds), bool), limits.tolist(), 0, len(demand)
+    while todo:
+        room = list(whole)
         while True:
-            fits = (kinds[alive] <= room).all(axis=1)
-            at = alive[fits]
-            if not len(at):
+            end = bisect_right(first, room[0])  # what fits in the first dimension is a prefix
+            fits = open_[:end].copy()
+            for column, r in zip(columns, room[1:]):
+                fits &= column[:end] <= r
+            score = share[0, :end] * (room[0] / whole[0])
+            for d in range(1, len(whole)):
+                score += share[d, :end] * (room[d] / whole[d])
+            score[~fits] = -1.0
+            if not end or score[best := int(score.argmax())] < 0:
                 break
-            best = at[np.argmax(share[at] @ (room / limits))]
             out[members[best][used[best]]] = number
             used[best] += 1
-            room = room - kinds[best]
+            todo -= 1
+            room = [r - int(k) for r, k in zip(room, kinds[best])]
             if used[best] == count[best]:
-                alive = alive[alive != best]
+                open_[best] = False
         number += 1
     return out
 
