@@ -134,9 +134,10 @@ def consistent_forms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id bigint, plain string, mark binary, mixed array<struct<token:string,repaired:string>>"
     kept = staged(read.mapInArrow(_plain_batches, schema), "plain")
+    # kept as a table, so that the planner knows its size: the corpus is shuffled for the vocabulary only if it is large
     wanted = kept.where(F.size("mixed") > 0).select("doc_id", "mark", F.explode("mixed").alias("m")).select("doc_id", "mark", "m.token", "m.repaired").distinct()
-    candidates = wanted.select(F.col("repaired").alias("word")).distinct()
-    vocabulary = kept.select(F.explode(F.split("plain", WORD_SPLIT)).alias("word")).join(candidates, "word", "left_semi").distinct()
+    candidates = staged(wanted.select(F.col("repaired").alias("word")).distinct(), "candidates")
+    vocabulary = kept.where("plain <> ''").select(F.explode(F.split("plain", WORD_SPLIT)).alias("word")).join(candidates, "word", "left_semi").distinct()
     known = wanted.join(vocabulary, F.col("repaired") == F.col("word")).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("token", "repaired")).alias("repairs"))
     todo = kept.where(F.size("mixed") > 0).join(known, ["doc_id", "mark"], "left").select("doc_id", "plain", "mark", "repairs")
     done = todo.mapInArrow(_apply, "doc_id bigint, form string, mark binary")
