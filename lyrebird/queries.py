@@ -181,7 +181,7 @@ QUERIES = {
     "stopword_filtered_freq": _freq,
     "byte_lengths": lambda s, d: _pages(s, d).select("page_id", F.octet_length("html_content").cast("bigint").alias("n_bytes")),
     "html_escaped": lambda s, d: _t(s, d, "docinfo").select("doc_id", html_escape("title").alias("title")),
-    "url_decoded": lambda s, d: _t(s, d, "docinfo").select("doc_id", url_decode("url").alias("url")).where("url not like '%\\%%'"),
+    "url_decoded": lambda s, d: _t(s, d, "docinfo").select("doc_id", url_decode("url").alias("url")),
     "forward_index": lambda s, d: index(s, d).docs.select("doc_id", "title", "url"),
     "postings": lambda s, d: index(s, d).postings,
     "inverted_index": _inverted,
@@ -236,6 +236,21 @@ docs as (select row_number() over (order by page_id) - 1 as doc_id, title, coale
 toks as (select *, {_TOKENS.format("text")} as t from docs),
 postings as (select distinct doc_id, unnest(t) as term from toks)
 """
+_NORMAL = r"""
+parts as (select *, regexp_replace(url, '#.*$', '') as u from {source}),
+cut as (select *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, lower(regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1)) as host,
+  regexp_replace(url_decode(regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)), '/+', '/', 'g') as path, regexp_extract(u, '[?](.*)$', 1) as query from parts),
+normal as (select *, coalesce(scheme || '://' || host || case when length(path) > 1 then regexp_replace(path, '/$', '') else path end
+  || case when query <> '' then '?' || list_aggregate(list_sort(string_split(query, '&')), 'string_agg', '&') else '' end, '') as norm from cut)"""
+_ENDINGS = "|".join(e[1:] for e in U.FILE_ENDINGS)
+_LINKS = f"""with hrefs as (select page_id, url as page, unnest(regexp_extract_all(regexp_replace(html_content, '(?is)<script.*?</script[^>]*>|<!--.*?-->', '', 'g'),
+    '<[aA]\\s[^>]*?[hH][rR][eE][fF]=["'']?([^"''>\\s]*)', 1)) as href from crawled where html_content <> ''),
+based as (select page_id, page, regexp_extract(page, '^[^:/?#]+://[^/?#]*') || href as url from hrefs where page is not null and starts_with(href, '/') and not starts_with(href, '//')
+  union all select page_id, page, href from hrefs where regexp_matches(href, '^[a-z]+://')),
+{_NORMAL.format(source="based")},
+links as (select page_id, norm as link, page from normal where not regexp_matches(lower(norm), '[.]({_ENDINGS})') and not regexp_matches(norm, '/(File|Файл):|/wiki/(Media|Медиа):'))
+"""
+_FRESH = f"fresh as (select url from (select url, max(crawl_date) as d from crawled where url is not null group by 1) where {NOW} - d <= 7 * 86400)"
 _FREQ = f"""with words as (select unnest({_PAGE_TOKENS}) as token from crawled where html_content <> ''),
 freq as (select token, count(*) as cnt from words where not regexp_full_match(token, '[0-9]+') and token not in ({", ".join(f"'{w}'" for w in STOP_WORDS)}) group by 1)
 """
@@ -298,6 +313,18 @@ select (select count(*) from crawled) as total_documents, (select sum(strlen(htm
   (select count(*) from freq) as unique_tokens, (select round(sum(cnt * length(token)) / sum(cnt), 6) from freq) as avg_token_length, (select count(distinct stem) from stems) as unique_stems""",
     "stem_golden": "select * from (values " + ", ".join(f"('{w}', '{s}')" for w, s in STEMS) + ") t(word, stem)",
     "stem_freq": _FREQ + f", {stem_sql('freq', 'token')} select stem, sum(cnt)::bigint as cnt from freq join stems on token = word group by 1",
+    "url_decoded": "select doc_id, url_decode(replace(url, '+', ' ')) as url from docinfo",
+    "url_normalize": f"with {_NORMAL.format(source='crawled')} select page_id, norm, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) as domain, coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+'), false) as valid from normal",
+    "url_kinds": f"select page_id, regexp_matches(lower(url), '[.]({_ENDINGS})') or regexp_matches(url, '/(File|Файл):|/wiki/(Media|Медиа):') as file, false as article, false as closed from crawled where url is not null and not contains(url, 'wikipedia.org')",
+    "link_graph": _LINKS + "select page_id, link from links",
+    "same_domain_links": _LINKS + "select page_id, count(*) as links from links where lower(regexp_extract(link, '^[^:/?#]+://([^/?#]*)', 1)) = lower(regexp_extract(page, '^[^:/?#]+://([^/?#]*)', 1)) group by 1",
+    "crawl_seeds": f"with {_NORMAL.format(source='sources')}, {_FRESH} select norm as url, name as source_name, 0::int as depth from normal where enabled and norm not in (select url from fresh)",
+    "crawl_frontier": _LINKS + f""", {_FRESH}, {_NORMAL.format(source="sources").replace("parts", "parts2").replace("cut", "cut2").replace("normal as", "seeds as")}
+select link as url, min(coalesce(source_name, 'Unknown')) as source_name, 1::int as depth from links join crawled using (page_id)
+where lower(regexp_extract(link, '^[^:/?#]+://([^/?#]*)', 1)) = lower(regexp_extract(page, '^[^:/?#]+://([^/?#]*)', 1)) and link not in (select url from fresh) group by 1
+union all select norm, name, 0 from seeds where enabled and norm not in (select url from fresh)""",
+    "search_json": _INDEX + f"""select to_json({{query: 'опера', total: (select count(*) from ({set_sql(parse('опера'))})),
+  results: (select list({{title: title, url: url}} order by doc_id) from (select * from docs where doc_id in ({set_sql(parse('опера'))}) order by doc_id limit 10))}})::varchar as json""",
     "content_hash_dedup": "select sha256(text) as hash, count(*) as n from documents where text is not null group by 1",
     "content_hash_check": "select page_id, lower(content_hash) = sha256(html_content) as fresh from crawled",
     "crawl_upsert": _HALVES,
