@@ -129,7 +129,7 @@ def is_closed_path(url: Column | str) -> Column:
     general = either(CLOSED)
     for path, but in CLOSED_BUT.items():
         general = general | (either([path]) & ~_any(u, but))
-    project = either([PROJECT + p for p in PROJECT_CLOSED]) | F.contains(u, F.lit(PROJECT_ENCODED)) | (F.contains(d, F.lit(PROJECT)) & ~_any(d, PROJECT_OPEN))
+    project = either([PROJECT + p for p in PROJECT_CLOSED]) | either([PROJECT_ENCODED]) | (F.contains(d, F.lit(PROJECT)) & ~_any(d, PROJECT_OPEN))
     russian = F.contains(domain(u), F.lit("ru." + ENCYCLOPEDIA)) & (either(CLOSED_RU) | project)
     return F.coalesce(F.contains(domain(u), F.lit(ENCYCLOPEDIA)) & (general | russian), F.lit(False))
 
