@@ -280,15 +280,16 @@ def best_containers(page: Page, score: list[float], least: float = 1.5, share: f
     return [n for n in range(1, len(score)) if n == top or (parents[n] == parents[top] and tags[n] == tags[top] and hints[n] == hints[top] and score[n] >= share * score[top])]
 
 
-def main_blocks(page: Page) -> list[Block]:
+def main_blocks(page: Page, marks: tuple[list[bool], list[bool]] | None = None, roots: list[int] | None = None) -> list[Block]:
     """The blocks of the page's main body, in order: those in the best container and its siblings without the chrome
     inside. Where ``body`` itself is the container, paragraphs of the lesser kind (``p`` among ``div`` or the other way
-    round) and bare link lists don't belong; neither do link lists without a figure anywhere."""
+    round) and bare link lists don't belong; neither do link lists without a figure anywhere. ``marks`` and ``roots``
+    are those of ``mark_chrome`` and ``best_containers``, where they are known already."""
     if not page.blocks:
         return []
     tags, parents, blocks = page.tags, page.parents, page.blocks
-    node_chrome, block_chrome = mark_chrome(page)
-    roots = best_containers(page, score_tree(page, block_chrome))
+    node_chrome, block_chrome = marks or mark_chrome(page)
+    roots = best_containers(page, score_tree(page, block_chrome)) if roots is None else roots
     if not roots:
         return []
     keep = [False] * len(tags)

@@ -91,10 +91,11 @@ def content_blocks(page: Page) -> list[Block]:
     if not blocks:
         return []
     tags, parents = page.tags, page.parents
-    _, chrome = mark_chrome(page)
-    scores = score_tree(page, chrome)
-    roots = set(best_containers(page, scores))
-    kept = {id(b) for b in main_blocks(page)} if roots else set()
+    marks = mark_chrome(page)
+    chrome = marks[1]
+    found = best_containers(page, score_tree(page, chrome))
+    roots = set(found)
+    kept = {id(b) for b in main_blocks(page, marks, found)} if roots else set()
     inside = [False] * len(tags)
     for node in range(len(tags)):
         inside[node] = node in roots or (node > 0 and inside[parents[node]])
@@ -159,6 +160,11 @@ LATEX = re.compile(
 )
 
 
+#: Without any of these signs a text holds nothing that the patterns could find.
+WIKI_SIGNS = ("[[", "{{", "{|", "|}", "|-", "==", "''", "[http", "~~~", "__", "#")
+MARKDOWN_SIGNS = ("\n", "[", "*", "_", "`", "~", "#", ">", "|")
+
+
 def kinds(text: str) -> set[str]:
     """The kinds of markup in a text as a reader sees it: markdown, wiki, latex, html."""
     out = set()
@@ -168,7 +174,7 @@ def kinds(text: str) -> set[str]:
     latex = "\\" in text or "$" in text
     if latex and LATEX.search(text):
         out.add("latex")
-    wiki = WIKI.search(text) is not None
+    wiki = any(sign in text for sign in WIKI_SIGNS) and WIKI.search(text) is not None
     if wiki:
         out.add("wiki")
     rest = text
@@ -178,6 +184,8 @@ def kinds(text: str) -> set[str]:
         rest = LATEX_SPAN.sub(" ", rest)
     if "html" in out:
         rest = HTML.sub(" ", rest)
+    if not any(sign in rest for sign in MARKDOWN_SIGNS) and rest.lstrip()[:1] not in ("-", "+"):
+        return out
     if MARKDOWN.search(rest) or (not wiki and "\n" in rest and MARKDOWN_LIST.search(rest)):
         out.add("markdown")
     return out
@@ -249,10 +257,11 @@ _RULES: dict[str, list[tuple[re.Pattern, str]]] = {
 _LINES = re.compile(r"\n{3,}")
 
 
-def cleaned(text: str) -> str:
+def cleaned(text: str, found: set[str] | None = None) -> str:
     """A text with its leftover markup turned into plain structure: '# ' before headings, '- ' before list items, code
-    between ``` lines, formulas between dollar signs; link texts stay, their addresses, templates and citations go."""
-    found = kinds(text)
+    between ``` lines, formulas between dollar signs; link texts stay, their addresses, templates and citations go. ``found``: its kinds, if
+    known."""
+    found = kinds(text) if found is None else found
     for kind in ("html", "latex", "wiki", "markdown"):
         if kind in found:
             for pattern, to in _RULES[kind]:
@@ -262,12 +271,12 @@ def cleaned(text: str) -> str:
     return _LINES.sub("\n\n", text).strip() if found else text
 
 
-def page_text(page: Page, blocks: list[Block]) -> str:
+def page_text(page: Page, blocks: list[Block], found: list[set[str]] | None = None) -> str:
     """The clean text of content blocks, with the structure that the page's own elements give."""
     parts = []
-    for b in blocks:
+    for b, own in zip(blocks, found or [None] * len(blocks)):
         tag = page.tags[b.node]
-        text = b.text if b.pre else cleaned(b.text)
+        text = b.text if b.pre else cleaned(b.text, own)
         if b.pre:
             text = f"```\n{text}\n```"
         elif tag in HEADINGS:
@@ -291,9 +300,10 @@ def residue(pages: DataFrame, page_id: str = "page_id", html: str = "html_conten
                     page = parse(source)
                     blocks = content_blocks(page)
                     if blocks:
+                        own = [set() if b.pre else kinds(b.text) for b in blocks]
                         ids.append(i)
-                        found.append(sorted(set().union(*(kinds(b.text) for b in blocks if not b.pre))))
-                        texts.append(page_text(page, blocks))
+                        found.append(sorted(set().union(*own)))
+                        texts.append(page_text(page, blocks, own))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["page_id", "kinds", "text"])
 
     read = pages.where(F.length(html) > 0).select(F.col(page_id).cast("bigint").alias("page_id"), F.col(html).alias("html"))
