@@ -151,7 +151,7 @@ def same_look_pairs(forms: DataFrame) -> DataFrame:
 
     Copies are first one class; only looks with two classes or more go on, and pairs are made between classes, so that
     a text copied any number of times is never paired with itself."""
-    rows = forms.where("form is not null and form <> ''").select("doc_id", "mark", "look")
+    rows = staged(forms.where("form is not null and form <> ''").select("doc_id", "mark", "look"), "looks")  # read three times
     several = rows.groupBy("look").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).where("a <> z").select("look")
     left = rows.join(several, "look").distinct()
     right = left.select("look", F.col("doc_id").alias("other"), F.col("mark").alias("other_mark"))
