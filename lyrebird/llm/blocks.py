@@ -168,7 +168,7 @@ CHROME_START = (
     "читайте также", "read also", "lesen sie auch", "à lire aussi", "см. также:", "related:", "просмотров:", "views:",
     "aufrufe:", "vues:", "©", "(c) ", "подписаться на", "subscribe to", "этот сайт хранит на вашем устройстве",
     "small files are stored on your device", "wir speichern dateien auf ihrem gerät",
-    "nous déposons des fichiers sur votre appareil",
+    "nous déposons des fichiers sur votre appareil", "ce site utilise des témoins de connexion",
 )
 CHROME_ANYWHERE = re.compile("cookie", re.I)
 #: What begins or heads the part of a page about other pages or readers' comments.
