@@ -64,8 +64,7 @@ def tokens(text: Column | str, min_length: int = 2, lowercase: bool = True, stop
     letters = "[a-z0-9а-яё]" if lowercase else LETTER
     found = F.regexp_extract_all(c, F.lit(letters + ("+" if min_length <= 1 else f"{{{min_length},}}")), F.lit(0))
     if stopwords:
-        listed = F.array(*(F.lit(w) for w in stopwords))
-        return F.filter(found, lambda t: ~F.array_contains(listed, t))
+        return F.filter(found, lambda t: ~t.isin(stopwords))
     return found
 
 

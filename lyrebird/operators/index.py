@@ -34,9 +34,16 @@ class Index:
     stats: DataFrame
 
     def inverted(self) -> DataFrame:
-        """(term, df, postings): every term with its ascending posting list."""
+        """(term, df, postings): every term with its ascending posting list, whole. For corpora in which a term's list
+        doesn't fit a row, ``blocks`` gives the same in pieces."""
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list("doc_id")).alias("postings"))
 
+    def blocks(self, size: int = 65_536) -> DataFrame:
+        """(term, block, df, postings): the lists in blocks of ``size`` document ids, so that no row grows with the corpus
+        and a common term is spread over many tasks. ``df`` counts the block."""
+        block = F.floor(F.col("doc_id") / F.lit(size)).alias("block")
+        return self.postings.groupBy("term", block).agg(F.count("*").alias("df"), F.sort_array(F.collect_list("doc_id")).alias("postings"))
+
 
 def page_texts(pages: DataFrame, key: str = "page_id", html: str = "html_content", url: str = "url", limit: int | None = None) -> DataFrame:
     """(doc_id, key, title, url, text, toks) of each page with html. ``limit`` counts pages before empty ones are left

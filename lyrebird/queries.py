@@ -185,6 +185,7 @@ QUERIES = {
     "forward_index": lambda s, d: index(s, d).docs.select("doc_id", "title", "url"),
     "postings": lambda s, d: index(s, d).postings,
     "inverted_index": _inverted,
+    "inverted_blocks": lambda s, d: index(s, d).blocks(100).select("term", "block", "df", F.array_join(F.transform("postings", lambda x: x.cast("string")), " ").alias("postings")),
     "index_stats": lambda s, d: index(s, d).stats,
     **{name: _search(name) for name in QUERY},
     "search_by_sets": _by_sets,
@@ -286,6 +287,7 @@ ORACLE = {
     "forward_index": _INDEX + "select doc_id, title, url from docs",
     "postings": _INDEX + "select term, doc_id from postings",
     "inverted_index": _INDEX + "select term, count(*) as df, string_agg(doc_id::varchar, ' ' order by doc_id) as postings from postings group by 1",
+    "inverted_blocks": _INDEX + "select term, doc_id // 100 as block, count(*) as df, string_agg(doc_id::varchar, ' ' order by doc_id) as postings from postings group by all",
     "index_stats": _INDEX + """select (select count(*) from toks) as total_documents, (select sum(len(t))::bigint from toks) as total_tokens,
   (select sum(strlen(text))::bigint from toks) as total_text_bytes, (select count(distinct term) from postings) as unique_terms,
   (select count(*) from postings) as total_postings, (select round(avg(strlen(term)), 6) from (select distinct term from postings)) as avg_term_length""",

@@ -147,3 +147,12 @@ def test_config_and_documents(spark, tmp_path):
     assert store_uri(config["db"] | {"username": "u", "password": "p"}) == "mongodb://u:p@localhost:27017"
     (tmp_path / "d.json").write_text('[{"url": "a", "html_content": "x"}, {"url": "b"}]')
     assert sorted(map(tuple, read_documents(spark, f"file://{tmp_path}/d.json").collect())) == [("a", "x"), ("b", "")]
+
+
+def test_blocks_hold_the_same_lists(idx):
+    whole = {r.term: r.postings for r in idx.inverted().collect()}
+    parts = {}
+    for r in idx.blocks(2).orderBy("term", "block").collect():
+        assert r.df == len(r.postings) <= 2
+        parts.setdefault(r.term, []).extend(r.postings)
+    assert parts == whole
