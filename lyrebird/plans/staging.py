@@ -21,12 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the program ends."""
+    path = f"{shared_folder(spark)}/lyrebird/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, name: str = "table", by: list[str] | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: the plan starts anew at the files, which
     survive the loss of executors. ``by`` sorts rows inside each file. The folder is removed when the program ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lyrebird/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = shared_path(spark, name)
     (df.sortWithinPartitions(*by) if by else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

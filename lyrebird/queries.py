@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,9 @@ from lyrebird.operators import corpus, crawl
 from lyrebird.operators import search as S
 from lyrebird.operators.index import Index, build
 from lyrebird.plans.query import parse, set_sql
-from lyrebird.plans.staging import staged
+from lyrebird.plans.staging import shared_path, staged
+from lyrebird.sources.index_store import open_index, write_index
+from lyrebird.streaming.ingest import Store, ingest, read_landing
 
 #: Pages fetched from here on are the new crawl, those before it the store.
 CUT = 1700035200
@@ -137,30 +137,22 @@ def _inverted(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stored_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """A search in an index written to the shared folder and opened again."""
-    from lyrebird.plans.staging import shared_folder
-    from lyrebird.sources.index_store import open_index, write_index
-
-    path = f"{shared_folder(spark)}/lyrebird/index-{abs(hash((sf, spark.sparkContext.applicationId)))}"
+    path = shared_path(spark, "index")
     write_index(index(spark, sf), path)
     return S.matches(open_index(spark, path), QUERY["search_and"])
 
 
 def _stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The upsert by Structured Streaming: the store's half and the crawl's half as two files of a landing folder."""
-    from lyrebird.plans.staging import shared_folder
-    from lyrebird.streaming.ingest import Store, ingest, read_landing
-
-    base = f"{shared_folder(spark)}/lyrebird/stream-{tempfile.mktemp(dir='', prefix='')}"
+    base = shared_path(spark, "stream")
     old, new = _halves(spark, sf)
     cols = ["url", "html_content", "source_name", "crawl_date"]
     old.select(*cols).write.parquet(f"{base}/landing/a")
     new.select(*cols).write.parquet(f"{base}/landing/b")
     store = Store(spark, f"{base}/store")
-    for part in ("a", "b"):
+    for number, part in enumerate(("a", "b")):
         stream = read_landing(spark, f"{base}/landing/{part}", "url string, html_content string, source_name string, crawl_date bigint", 1000)
-        stream = stream.withColumn("_part", F.lit(part)).drop("_part")
-        number = 0 if part == "a" else 1
-        stream.writeStream.foreachBatch(lambda df, n, k=number: store.apply(df, k)).option("checkpointLocation", f"{base}/check-{part}").trigger(availableNow=True).start().awaitTermination()
+        ingest(stream, store, f"{base}/check-{part}", first=number).awaitTermination()
     return store.current().select("url", "action", "crawl_date", "content_hash", "source_name")
 
 

@@ -66,9 +66,10 @@ def read_landing(spark: SparkSession, folder: str, schema: str, files: int = 100
     return stream.withColumn("content_hash", content_hash("html_content"))
 
 
-def ingest(stream: DataFrame, store: Store, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Starts the ingest. Dates aren't compared between batches: the last writer of a URL wins, so late pages overwrite."""
-    writer = stream.writeStream.foreachBatch(lambda df, n: store.apply(df, n)).option("checkpointLocation", checkpoint)
+def ingest(stream: DataFrame, store: Store, checkpoint: str, available_now: bool = True, first: int = 0) -> StreamingQuery:
+    """Starts the ingest; ``first`` is the number of the stream's first batch, for a store that other streams have fed
+    before. Dates aren't compared between batches: the last writer of a URL wins, so late pages overwrite."""
+    writer = stream.writeStream.foreachBatch(lambda df, n: store.apply(df, first + n)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
