@@ -33,7 +33,7 @@ def global_weights(local: DataFrame, documents: DataFrame) -> DataFrame:
 def log_entropy(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf, df, score): every term of every document with ln(1 + tf) times its global weight.
 
-    ``docs``: (doc_id, text), one row for each document. Null texts and texts without a token have no terms; they count
+    ``docs``: (doc_id, text), one row for each document; terms of repeated rows of one doc_id add up. Null texts and texts without a token have no terms; they count
     in the number of documents. All documents and terms are scored."""
     local = staged(local_frequencies(docs), "tf")
     weights = global_weights(local, docs)
