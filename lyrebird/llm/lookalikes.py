@@ -151,12 +151,15 @@ def same_look_pairs(forms: DataFrame) -> DataFrame:
 
     Copies are first one class; only looks with two classes or more go on, and pairs are made between classes, so that
     a text copied any number of times is never paired with itself."""
-    rows = staged(forms.where("form is not null and form <> ''").select("doc_id", "mark", "look"), "looks")  # read three times
+    rows = staged(forms.where("form is not null and form <> ''").select("doc_id", "mark", "look"), "looks")  # read again and again
     several = rows.groupBy("look").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).where("a <> z").select("look")
-    left = rows.join(several, "look").distinct()
-    right = left.select("look", F.col("doc_id").alias("other"), F.col("mark").alias("other_mark"))
-    pairs = left.join(right, "look").where("doc_id < other and mark <> other_mark")
-    return pairs.select(F.col("doc_id").alias("doc_a"), F.col("other").alias("doc_b")).distinct()
+    members = rows.join(several, "look").distinct()
+    classes = staged(members.select("look", "mark").distinct(), "classes")
+    pairs = classes.join(classes.select("look", F.col("mark").alias("other")), "look").where("mark < other")
+    first = members.select("look", "mark", F.col("doc_id").alias("x"))
+    second = members.select("look", F.col("mark").alias("other"), F.col("doc_id").alias("y"))
+    expanded = pairs.join(first, ["look", "mark"]).join(second, ["look", "other"]).where("x <> y")
+    return expanded.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:
