@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lyrebird.functions.stem import stemmed
 from lyrebird.functions.text import STOP_WORDS, extract_text, tokens, without_numbers
 from lyrebird.operators.index import dense_ids
+from lyrebird.plans.spread import spread
 from lyrebird.plans.staging import staged
 
 
@@ -15,7 +16,7 @@ def token_frequencies(pages: DataFrame, html: str = "html_content", stop_words:
     """(token, cnt) over all pages; without stop words and, unless ``numbers``, without tokens of digits alone."""
     found = tokens(extract_text(html), min_length, stopwords=stop_words)
     found = found if numbers else without_numbers(found)
-    return pages.where(F.length(html) > 0).select(F.explode(found).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+    return spread(pages.where(F.length(html) > 0).select(html)).select(F.explode(found).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
 
 
 def stem_frequencies(frequencies: DataFrame) -> DataFrame:

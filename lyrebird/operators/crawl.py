@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lyrebird.functions.text import content_hash
 from lyrebird.functions.url import domain, is_article, is_closed_path, is_file, is_valid, normalize_url, resolve_url
+from lyrebird.plans.spread import spread
 from lyrebird.plans.staging import staged
 
 MIN_DELAY = 5.0
@@ -47,7 +48,8 @@ def hrefs(html: pd.Series) -> pd.Series:
 def links(pages: DataFrame, url: str = "url", html: str = "html_content", keep: list[str] | None = None) -> DataFrame:
     """(url, link, *keep): every link of every page in normal form against the page's URL, repeats kept; files, invalid
     URLs and pages of the encyclopedia that aren't articles are left out."""
-    found = pages.where(F.length(html) > 0).select(F.col(url).alias("url"), *(keep or []), F.explode(hrefs(html)).alias("href"))
+    read = spread(pages.where(F.length(html) > 0).select(F.col(url).alias("url"), F.col(html).alias("html"), *(keep or [])))
+    found = read.select("url", *(keep or []), F.explode(hrefs("html")).alias("href"))
     resolved = found.withColumn("link", resolve_url("href", "url")).drop("href")
     ok = is_valid("link") & ~is_file("link") & (~F.contains(domain("link"), F.lit("wikipedia.org")) | is_article("link"))
     return resolved.where(ok)

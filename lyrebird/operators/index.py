@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lyrebird.functions.text import extract_text, extract_title, tokens
+from lyrebird.plans.spread import spread
 from lyrebird.plans.staging import staged
 
 
@@ -51,7 +52,7 @@ def page_texts(pages: DataFrame, key: str = "page_id", html: str = "html_content
     read = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     if limit is not None:
         read = read.orderBy("key").limit(limit)
-    dealt = read.where("html <> ''").repartition(F.col("key"))  # few large files: the text work is spread first
+    dealt = spread(read.where("html <> ''"))
     text = dealt.select("key", "url", extract_title("html").alias("title"), extract_text("html").alias("text"))
     with_tokens = text.withColumn("toks", tokens("text"))
     return dense_ids(with_tokens, "key")
