@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lyrebird.plans.spread import spread
 from lyrebird.plans.staging import staged
 
 #: Letters that look alike: Cyrillic and Greek ones beside their Latin twins, in the same order. Fixed values.
@@ -133,7 +134,7 @@ def consistent_forms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id bigint, plain string, mark binary, mixed array<struct<token:string,repaired:string>>"
-    kept = staged(read.mapInArrow(_plain_batches, schema), "plain")
+    kept = staged(spread(read).mapInArrow(_plain_batches, schema), "plain")
     # kept as a table, so that the planner knows its size: the corpus is shuffled for the vocabulary only if it is large
     wanted = kept.where(F.size("mixed") > 0).select("doc_id", "mark", F.explode("mixed").alias("m")).select("doc_id", "mark", "m.token", "m.repaired").distinct()
     candidates = staged(wanted.select(F.col("repaired").alias("word")).distinct(), "candidates")

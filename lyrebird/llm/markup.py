@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.llm.blocks import DIGITS, HEADINGS, Block, Page, best_containers, mark_chrome, parse, score_tree, main_blocks
+from lyrebird.llm.blocks import DIGITS, HEADINGS, Block, Page, best_containers, main_blocks, mark_chrome, parse, score_tree
+from lyrebird.plans.spread import spread
 
 # ------------------------------------------------------------------------------------------------- minimum cut
 
@@ -307,7 +308,7 @@ def residue(pages: DataFrame, page_id: str = "page_id", html: str = "html_conten
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["page_id", "kinds", "text"])
 
     read = pages.where(F.length(html) > 0).select(F.col(page_id).cast("bigint").alias("page_id"), F.col(html).alias("html"))
-    return read.mapInArrow(run, "page_id bigint, kinds array<string>, text string")
+    return spread(read).mapInArrow(run, "page_id bigint, kinds array<string>, text string")
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.llm.tokens import encoder, vocabulary_path
+from lyrebird.plans.spread import spread
 from lyrebird.plans.staging import staged
 
 
@@ -33,7 +34,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
                 loss = [max(0, n - p) for n, p in zip(sizes, prompts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(loss, pa.int32())], names=["doc_id", "tokens", "loss"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, tokens int, loss int")
+    return spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id bigint, tokens int, loss int")
 
 
 def pack(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:

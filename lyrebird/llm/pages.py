@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.llm.blocks import DIGITS, main_blocks, parse, words
+from lyrebird.plans.spread import spread
 from lyrebird.plans.staging import staged
 
 BLOCK = pa.struct(
@@ -82,7 +83,7 @@ def candidate_blocks(pages: DataFrame, page_id: str = "page_id", html: str = "ht
     """One row per page that has html: its site and the blocks that tree scoring keeps, in order. Null or empty html and
     pages without a main body give no row."""
     read = pages.where(F.length(html) > 0).select(F.col(page_id).cast("bigint").alias("page_id"), F.col(html).alias("html"), F.col(url).alias("url"))
-    return read.mapInArrow(_extract, SCHEMA).where(F.size("blocks") > 0)
+    return spread(read).mapInArrow(_extract, SCHEMA).where(F.size("blocks") > 0)
 
 
 def site_notes(candidates: DataFrame, least: int = 3, share: float = 0.5, own: float = 0.8) -> DataFrame:

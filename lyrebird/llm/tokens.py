@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lyrebird.plans.spread import spread
+
 #: What splits a text into words before the merges. A fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of more characters are encoded anew each time; the words kept by a worker are at most KEEP.
@@ -227,7 +229,7 @@ def token_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
                 ids = pa.array(bpe.encode(batch.column(1).to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def p7_ids(spark, sf_dir: str) -> DataFrame:
