@@ -96,11 +96,10 @@ def _frontier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bfs(spark: SparkSession, sf: str) -> DataFrame:
-    """A crawl that starts from the stored pages' hosts and finds its pages in the store, by normal URL."""
+    """A crawl that starts from all stored pages, whose links are followed, and finds its pages in the store, by normal URL."""
     store = staged(_pages(spark, sf).where(F.length("html_content") > 0).select(U.normalize_url("url").alias("url"), "html_content", "source_name"), "store")
-    start = store.groupBy("url").agg(F.min("source_name").alias("source_name"))
-    first = start.groupBy(U.domain("url").alias("d")).agg(F.min(F.struct("url", "source_name")).alias("s")).select("s.*")
-    return crawl.breadth_first(first, lambda level: store.join(level.select("url"), "url", "left_semi").select("url", "html_content"), max_depth=2)
+    start = store.where("url <> ''").groupBy("url").agg(F.min("source_name").alias("source_name"))
+    return crawl.breadth_first(start, lambda level: store.join(level.select("url"), "url", "left_semi").select("url", "html_content"), max_depth=2)
 
 
 def _freq(spark: SparkSession, sf: str) -> DataFrame:

@@ -113,3 +113,12 @@ def test_robots_and_delays(spark):
 def test_copies(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,), ("",)], "text string")
     assert sorted(r.n for r in copies(df, "text").collect()) == [1, 2]
+
+
+def test_crawl_starts_from_every_stored_page(spark, tmp_path):
+    from lyrebird.queries import QUERIES
+
+    rows = [("http://h/a", "<a href=/c>c</a>", "s"), ("http://h/b", "<a href=/d>d</a>", "s"), ("http://h/d", "<a href=/e>e</a>", "s"), (None, "<a href=/f>f</a>", "s")]
+    spark.createDataFrame(rows, "url string, html_content string, source_name string").write.parquet(f"{tmp_path}/crawled.parquet")
+    got = {r.url[9:]: r.depth for r in QUERIES["crawl_bfs"](spark, str(tmp_path)).collect()}
+    assert got == {"a": 0, "b": 0, "d": 0, "c": 1, "e": 1}
