@@ -87,7 +87,7 @@ def _packer(round_no: int):
         capacity = table.column("capacity")[0].as_py()
         limits = np.array([capacity, table.column("segments")[0].as_py(), table.column("loss_limit")[0].as_py()], np.int64)
         tokens, loss = (table.column(c).to_numpy().astype(np.int64) for c in ("tokens", "loss"))
-        number = pack(np.column_stack([tokens, np.ones_like(tokens), loss]), limits)
+        number = pack(np.column_stack([tokens, np.ones_like(tokens), np.minimum(loss, limits[2])]), limits)
         kind, group = table.column("container_kind")[0].as_py(), table.column("grp")[0].as_py()
         names = [f"{kind}-{round_no}-{group}-{n}" for n in number.tolist()]
         filled = np.bincount(number, weights=tokens)[number]
@@ -110,7 +110,8 @@ def filled_containers(
 
     ``sizes``: (doc_id, tokens, loss); ``containers``: (container_kind, capacity_tokens), few rows. A text is split into
     pieces of the capacity only if it alone exceeds it. A container holds at most its capacity in tokens, one segment
-    for each ``segments_per`` tokens of capacity, and ``loss_share`` of the capacity in loss-bearing tokens. Texts
+    for each ``segments_per`` tokens of capacity, and ``loss_share`` of the capacity in loss-bearing tokens; a piece that
+    alone bears more takes up the whole limit and comes out with its own number, above the limit. Texts
     without tokens need no room: they come out with piece 0 and a null container_id; so do texts of null id, which are
     packed like others. Repeated rows are items of their own. Capacities that are null or below 1 hold nothing and give
     no rows.
@@ -130,10 +131,7 @@ def filled_containers(
     size = F.least(F.col("tokens") - start, F.col("capacity"))
     prompt = F.col("tokens") - F.col("loss")  # stands first
     loss = F.least(size, F.greatest(F.lit(0), start + size - prompt))
-    items = pieces.select(
-        "container_kind", "capacity", "doc_id", "nr", "piece", size.cast("int").alias("tokens"),
-        F.least(loss, F.floor(F.col("capacity") * F.lit(loss_share))).cast("int").alias("loss"),
-    )
+    items = pieces.select("container_kind", "capacity", "doc_id", "nr", "piece", size.cast("int").alias("tokens"), loss.cast("int").alias("loss"))
     out: DataFrame | None = None
     for r in range(rounds):
         n = items.groupBy("container_kind").agg(F.count("*").alias("n"))

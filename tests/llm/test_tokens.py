@@ -91,3 +91,13 @@ def test_measured(spark):
     df = spark.createDataFrame([(1, "hi\nhi hi"), (2, "hi hi"), (3, None), (4, "  ")], "doc_id bigint, text string")
     got = {r.doc_id: (r.tokens, r.loss) for r in measured(df).collect()}
     assert got[1] == (4, 3) and got[2] == (2, 2) and got[3] == (0, 0)
+
+
+def test_loss_above_the_limit_is_reported(spark):
+    from lyrebird.llm.packing import filled_containers
+
+    sizes = spark.createDataFrame([(1, 100, 100), (2, 60, 30), (3, 40, 30)], "doc_id bigint, tokens int, loss int")
+    kinds = spark.createDataFrame([("a", 100)], "container_kind string, capacity_tokens int")
+    rows = filled_containers(sizes, kinds, loss_share=0.5).collect()
+    assert {r.doc_id: r.loss for r in rows} == {1: 100, 2: 30, 3: 30}
+    assert len({r.container_id for r in rows}) == 3
