@@ -41,9 +41,10 @@ TOKEN = re.compile(
     r"|[!?/][^>]*>)",
     re.S,
 )
+#: Tags begun at the end of the source.
+UNFINISHED = re.compile(r"(?:</?[a-zA-Z][a-zA-Z0-9]*)+\Z|<\Z")
 ATTR = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile("[a-z0-9а-яё]{2,}")
-HAS_WORD = re.compile("[A-Za-z0-9А-Яа-яЁё]{2}")
 DIGITS = re.compile(r"\d+")
 #: The only characters outside A-Z, А-Я, Ё whose str.lower() holds letters of a word.
 ODD = re.compile("[\u0130\u212a]")
@@ -75,7 +76,7 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """The page's tree and blocks. Blocks without a word are left out."""
+    """The page's tree and blocks: every text that isn't blank, in whatever script."""
     page = Page()
     tags, parents, hints, out = page.tags, page.parents, page.hints, page.blocks
     stack = [0]
@@ -83,8 +84,9 @@ def parse(source: str) -> Page:
     links = 0  # characters of the current block inside <a>
     in_a = False
     pres = 0
-    found = HAS_WORD.search
     parts = TOKEN.split(QUIET.sub("", source))
+    if "<" in parts[-1]:
+        parts[-1] = UNFINISHED.sub("", parts[-1])
     parts += (None, None, None, None)  # the end flushes like a tag
     for i in range(0, len(parts), 5):
         piece = parts[i]
@@ -104,8 +106,9 @@ def parse(source: str) -> Page:
             if not raw.isspace():
                 if "&" in raw:
                     raw = _html.unescape(raw)
-                if found(raw):
-                    out.append(Block(raw.strip(), stack[-1], links, pres > 0))
+                raw = raw.strip()
+                if raw:
+                    out.append(Block(raw, stack[-1], links, pres > 0))
         links = 0
         if name is None:
             continue
@@ -153,74 +156,30 @@ def parse(source: str) -> Page:
 
 # ------------------------------------------------------------------------------------------------ tree scoring
 
-#: Lines about the site or its functions, in the four languages, held against the folded text of a block: those that
-#: say it all, those that begin a longer line, and those that may stand anywhere in it. Fixed values.
-CHROME_ALL = frozenset(
-    [
-        "поделиться", "share", "teilen", "partager", "реклама", "advertisement", "anzeige", "publicité", "werbung",
-        "наверх", "back to top", "nach oben", "haut de page", "retour en haut", "ok", "print", "печать", "drucken",
-        "подписаться на рассылку", "subscribe to our letter", "subscribe to our newsletter", "newsletter abonnieren",
-        "s’abonner à la lettre", "s'abonner à la lettre", "комментарии", "comments", "kommentare", "commentaires",
-        "все права защищены", "all rights reserved", "alle rechte vorbehalten", "tous droits réservés",
-    ]
-)
-CHROME_START = (
-    "читайте также", "read also", "lesen sie auch", "à lire aussi", "см. также:", "related:", "просмотров:", "views:",
-    "aufrufe:", "vues:", "©", "(c) ", "подписаться на", "subscribe to", "этот сайт хранит на вашем устройстве",
-    "small files are stored on your device", "wir speichern dateien auf ihrem gerät",
-    "nous déposons des fichiers sur votre appareil", "ce site utilise des témoins de connexion",
-)
-CHROME_ANYWHERE = re.compile("cookie", re.I)
-#: What begins or heads the part of a page about other pages or readers' comments.
-CHROME_HEAD = frozenset(
-    [
-        "читайте также", "read also", "lesen sie auch", "à lire aussi", "см. также", "комментарии", "comments",
-        "kommentare", "commentaires",
-    ]
-)
+#: Names of classes and ids by which pages mark what isn't their main text.
 CHROME_HINTS = frozenset("share social ad ads advert banner cookie menu nav footer sidebar related comments".split())
 
 
-def is_chrome(text: str) -> bool:
-    """Whether a block is, by its words alone, a line about the site."""
-    low = text.lower().strip(" .:…!")
-    return low in CHROME_ALL or low.startswith(CHROME_START) or (len(text) < 400 and CHROME_ANYWHERE.search(text) is not None)
-
-
 def mark_chrome(page: Page) -> tuple[list[bool], list[bool]]:
-    """Elements and blocks that are page chrome by tag, class, heading, wording or place (below the copyright line)."""
-    tags, parents, hints, blocks = page.tags, page.parents, page.hints, page.blocks
+    """Elements and blocks that are page chrome by the tag, class or id of an element around them. No wording counts:
+    lines that sites repeat are found by counts over all pages (``pages.repeated_lines``)."""
+    tags, parents, hints = page.tags, page.parents, page.hints
     node_chrome = [tags[n] in CHROME or hints[n] in CHROME_HINTS for n in range(len(tags))]
-    block_chrome = [False] * len(blocks)
-    first: dict[int, int] = {}
-    over = False
-    for i, block in enumerate(blocks):
-        node = block.node
-        head = first.setdefault(parents[node], i) == i
-        first.setdefault(node, i)
-        if over:
-            block_chrome[i] = True
-            continue
-        if len(block.text) < 400 and is_chrome(block.text):
-            block_chrome[i] = True
-            low = block.text.lower().strip(" .:…!")
-            if low in CHROME_HEAD:
-                if tags[node] in HEADINGS:
-                    if head and tags[parents[node]] not in ("body", "html", "#root", "main"):
-                        node_chrome[parents[node]] = True
-                elif first[node] == i and tags[node] in ("div", "section"):
-                    node_chrome[node] = True
-            elif low.startswith("©") and i > len(blocks) // 3:
-                over = True
-                if tags[parents[node]] in ("div", "footer", "td"):
-                    node_chrome[parents[node]] = True
     for n in range(1, len(tags)):
         if node_chrome[parents[n]]:
             node_chrome[n] = True
-    for i, block in enumerate(blocks):
-        if node_chrome[block.node]:
-            block_chrome[i] = True
-    return node_chrome, block_chrome
+    return node_chrome, [node_chrome[b.node] for b in page.blocks]
+
+
+COMMAS = re.compile("[,،、，]")
+WIDE = re.compile("[\u3000-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+
+
+def weight_of(text: str) -> tuple[int, int]:
+    """A text's length, in which an ideograph or a syllable counts twice, and its commas."""
+    if text.isascii() or max(text) < "\u0600":
+        return len(text), text.count(",")
+    return len(text) + len(WIDE.findall(text)), len(COMMAS.findall(text))
 
 
 #: Elements that only hold parts of a table or list; their paragraphs' points go to what holds the whole.
@@ -247,17 +206,18 @@ def score_tree(page: Page, skip: list[bool]) -> list[float]:
         node, length, link = block.node, len(block.text), block.link
         chars[node] += length
         links[node] += min(link, length)
-        if skipped or length < 25 or 2 * link > length or tags[node] in HEADINGS:
+        size_of, commas = weight_of(block.text)
+        if skipped or size_of < 25 or 2 * link > length or tags[node] in HEADINGS:
             continue
         tag = tags[node]
         if tag in ("td", "th", "li") and held[node] == 1 and not children[node]:
             to = parents[node]
             while to > 0 and tags[to] in PARTS:
                 to = parents[to]
-            value = (1 + block.text.count(",") + min(length / 100, 3)) / 4
+            value = (1 + commas + min(size_of / 100, 3)) / 4
         else:
             to = node if held[node] > 1 or (children[node] and tag not in PARAGRAPH) else parents[node]
-            value = 1 + block.text.count(",") + min(length / 100, 3)
+            value = 1 + commas + min(size_of / 100, 3)
         if to > 0:
             points[to] += value
             if parents[to] > 0:
@@ -283,8 +243,9 @@ def best_containers(page: Page, score: list[float], least: float = 1.5, share: f
 def main_blocks(page: Page, marks: tuple[list[bool], list[bool]] | None = None, roots: list[int] | None = None) -> list[Block]:
     """The blocks of the page's main body, in order: those in the best container and its siblings without the chrome
     inside. Where ``body`` itself is the container, paragraphs of the lesser kind (``p`` among ``div`` or the other way
-    round) and bare link lists don't belong; neither do link lists without a figure anywhere. ``marks`` and ``roots``
-    are those of ``mark_chrome`` and ``best_containers``, where they are known already."""
+    round) and bare link lists don't belong; neither do link lists without a figure anywhere, nor a paragraph that is
+    mostly a link. ``marks`` and ``roots`` are those of ``mark_chrome`` and ``best_containers``, where they are known
+    already."""
     if not page.blocks:
         return []
     tags, parents, blocks = page.tags, page.parents, page.blocks
@@ -297,6 +258,7 @@ def main_blocks(page: Page, marks: tuple[list[bool], list[bool]] | None = None,
     for node in range(len(tags)):
         keep[node] = not node_chrome[node] and (node in chosen or (node > 0 and keep[parents[node]]))
     out = [b for b, chrome in zip(blocks, block_chrome) if keep[b.node] and not chrome]
+    out = [b for b in out if 2 * b.link <= len(b.text) or tags[b.node] in HEADINGS or tags[b.node] in ("li", "td", "th", "dd", "dt")]
     loose = tags[roots[0]] in ("body", "#root", "html")
     if loose:
         by: dict[str, int] = {}

@@ -1,7 +1,7 @@
 import hashlib
 
 from lyrebird.llm.blocks import best_containers, main_blocks, mark_chrome, parse, score_tree, words
-from lyrebird.llm.pages import candidate_blocks, main_bodies, site_notes, site_of
+from lyrebird.llm.pages import candidate_blocks, main_bodies, repeated_lines, site_of
 
 LONG = "Оркестр играл, хор пел, и публика, как всегда, долго не расходилась после концерта."
 
@@ -17,7 +17,7 @@ def test_words():
 def test_blocks():
     assert texts("<p>one <b>two</b>three</p>four") == ["one twothree", "four"]
     assert texts("<head><title>x</title></head>a1<!-- no > no -->b2<script>c3</script><STYLE>d4</style>e5") == ["a1", "b2", "e5"]
-    assert texts("<p>aa &amp;lt; &eacute;&#8230;</p><p>—</p><p> </p>") == ["aa &lt; é…"]
+    assert texts("<p>aa &amp;lt; &eacute;&#8230;</p><p>—</p><p> </p>") == ["aa &lt; é…", "—"]
     assert texts("") == [] and texts("<") == [] and texts("<p") == []
 
 
@@ -33,7 +33,7 @@ def page(article, chrome="Все права защищены"):
 
 
 def test_main_blocks():
-    html = page(f"<h1>Имя</h1><p>{LONG}</p><div class=share>Поделиться</div><form><p>Подписаться на рассылку</p></form><p>{LONG} Ещё.</p><p>Читайте также: <a href=x>другое</a></p>")
+    html = page(f"<h1>Имя</h1><p>{LONG}</p><div class=share>Поделиться</div><form><p>Подписаться на рассылку</p></form><p>{LONG} Ещё.</p><p>Читайте также: <a href=x>совсем другое имя</a></p>")
     assert [b.text for b in main_blocks(parse(html))] == ["Имя", LONG, LONG + " Ещё."]
     assert main_blocks(parse("<ul><li><a href=/a>Меню</a></ul>")) == [] and main_blocks(parse("")) == []
 
@@ -69,7 +69,32 @@ def test_notes_of_a_site(spark):
     assert set(bodies) == {*range(8), *range(20, 26)}
     assert not any(note in b for b in bodies.values())
     assert all(" ".join(words(LONG)) in bodies[i] for i in range(20, 26))  # copies of one article keep their paragraphs
-    assert site_notes(candidate_blocks(df)).count() == 1
+    assert {r.site for r in repeated_lines(candidate_blocks(df)).collect()} == {candidate_blocks(df).where("page_id = 1").first().site}
+
+
+def test_lines_known_by_counts(spark):
+    own = lambda i: " ".join(f"слово{'абвгдежз'[i]}{'клмнопрстуфх'[k]} играет," for k in range(12))
+    pages = [(i, f"http://{'ab'[i % 2]}.example/{i}", page(f"<h1>Лист {'абвгдежз'[i]} имя</h1><div>Просмотров: {i}51</div><h2>Биография</h2><p>{own(i)}</p><div>Поделиться</div><p>{own(i)[::-1]} {LONG}</p>")) for i in range(8)]
+    bodies = {r.page_id: [b.words for b in r.blocks] for r in main_bodies(spark.createDataFrame(pages, "page_id bigint, url string, html_content string")).collect()}
+    assert len(bodies) == 8 and all("биография" in b and "поделиться" not in b and not any("просмотров" in x for x in b) for b in bodies.values())
+
+
+GREEK, CHINESE = "Η ορχήστρα έπαιξε χθες το βράδυ, και το κοινό, όπως πάντα, έμεινε ώρα πολλή.", "交響樂團昨晚在大廳演出，觀眾久久不願離去，指揮多次謝幕，大家都說這是最好的一晚。"
+
+
+def test_other_scripts(spark):
+    for text in (GREEK, CHINESE):
+        got = [b.text for b in main_blocks(parse(page(f"<h1>{text[:4]}</h1><p>{text}</p><p>{text}{text[::-1]}</p><p>→ ♪ ←</p>")))]
+        assert got == [text[:4], text, text + text[::-1], "→ ♪ ←"]
+    df = spark.createDataFrame([(1, "x", page(f"<h1>1</h1><p>{GREEK}</p><p>{CHINESE}</p>"))], "page_id bigint, url string, html_content string")
+    assert [b.text for b in main_bodies(df, with_text=True).first().blocks] == ["1", GREEK, CHINESE]
+
+
+def test_one_site_of_all_pages_and_one_line_in_all(spark):
+    """No array of a site's lines, and no window or task of one site or line: only partial sums and joins by line."""
+    df = crawl(spark)
+    lines = repeated_lines(candidate_blocks(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in lines and "Window" not in lines
 
 
 def test_keys_and_clashing_columns(spark):
