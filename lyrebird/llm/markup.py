@@ -7,21 +7,32 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.llm.blocks import DIGITS, HEADINGS, Block, Page, best_containers, main_blocks, mark_chrome, parse, score_tree
+from lyrebird.llm.blocks import DIGITS, HEADINGS, Block, Page, main_blocks, mark_chrome, parse, weight_of
 from lyrebird.plans.spread import spread
 
 # ------------------------------------------------------------------------------------------------- minimum cut
 
-#: Weights of the linear classifier; its value is the log odds that a block is content. They follow the signs by which
-#: main text is known: where the tree scoring puts it, links, length, commas, kind of element.
-WEIGHTS = {"bias": -0.8, "inside": 3.0, "chrome": -9.0, "link": -3.0, "length": 1.2, "commas": 0.25, "heading": 0.5, "listed": 0.3, "dropped": -6.0}
-#: Capacities between neighbours: in document order, and in the same element.
-ADJACENT, SAME_PARENT = 0.5, 0.7
+#: What the classifier looks at, of a block and of the elements around it. None of it is the verdict of problem 5.
+FEATURES = (
+    "bias", "length", "long", "link", "commas", "sentence", "digits", "heading", "item", "cell", "paragraph", "pre", "marked", "early", "late",
+    "parent_share", "parent_link", "parent_texts", "above_share", "above_link", "above_mean", "after_h1", "in_list", "in_table", "in_body",
+    "before", "after", "parent_longest", "above_longest", "linked_item", "named", "runs_on",
+    "parent_prose", "parent_prose_share", "above_prose", "above_prose_share", "alone",
+)
+#: Pages on which the classifier is fitted, chosen by the hash of their html; longer ones than so many characters aren't.
+SAMPLE, SAMPLE_CHARS = 600, 400_000
+#: Weight of the prior, strength of its pull in the fit, steps of the fit, and the bound of one block's log odds.
+PRIOR = {"bias": -1.5, "length": 2.0, "link": -4.0, "sentence": 1.0, "paragraph": 1.0, "heading": 0.5, "marked": -3.0, "parent_share": 2.0}
+PULL, STEPS, MOST = 1.0, 12, 6.0
+#: Capacities that the fit chooses from: between neighbours in document order, and between texts of one element.
+CAPACITIES = ((0.0, 0.0), (0.5, 0.5), (1.0, 1.0), (2.0, 1.0), (1.0, 2.0), (2.0, 2.0), (3.0, 3.0), (2.0, 4.0), (4.0, 4.0))
 
 
 def min_cut(prefer: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -86,45 +97,148 @@ def min_cut(prefer: list[float], edges: list[tuple[int, int, float]]) -> list[bo
     return [bool(x) for x in label]
 
 
-def content_blocks(page: Page) -> list[Block]:
-    """The blocks that the minimum cut puts on the content's side, in order."""
-    blocks = page.blocks
-    if not blocks:
-        return []
-    tags, parents = page.tags, page.parents
-    marks = mark_chrome(page)
-    chrome = marks[1]
-    found = best_containers(page, score_tree(page, chrome))
-    roots = set(found)
-    kept = {id(b) for b in main_blocks(page, marks, found)} if roots else set()
-    inside = [False] * len(tags)
-    for node in range(len(tags)):
-        inside[node] = node in roots or (node > 0 and inside[parents[node]])
-    prefer = []
-    w = WEIGHTS
-    for block, over in zip(blocks, chrome):
-        length = len(block.text)
-        x = w["bias"] + w["link"] * min(block.link, length) / length + w["length"] * min(1.0, math.log1p(length) / 5) + w["commas"] * min(4, block.text.count(","))
-        if inside[block.node]:
-            x += w["inside"] if id(block) in kept else w["dropped"]
-        else:
-            x -= w["inside"]
-        if over:
-            x += w["chrome"]
-        if tags[block.node] in HEADINGS:
-            x += w["heading"]
-        elif tags[block.node] in ("li", "td", "th") and DIGITS.search(block.text):
-            x += w["listed"]
-        prefer.append(x)
-    edges, last = [], {}
+SENTENCE = re.compile(r"[.!?…。！？;:][»”“\"')\]]*$")
+_PARAGRAPH = frozenset("p blockquote figcaption caption".split())
+
+
+def features(page: Page) -> np.ndarray:
+    """The blocks' rows of ``FEATURES``."""
+    tags, parents, blocks = page.tags, page.parents, page.blocks
+    size = len(tags)
+    chars, links, texts, most, prose = [0] * size, [0] * size, [0] * size, [0] * size, [0] * size
+    for b in blocks:
+        length = len(b.text)
+        chars[b.node] += length
+        most[b.node] = max(most[b.node], length)
+        links[b.node] += min(b.link, length)
+        texts[b.node] += 1
+        prose[b.node] += length > 80 and 2 * b.link < length
+    for n in range(size - 1, 0, -1):
+        prose[parents[n]] += prose[n]
+        chars[parents[n]] += chars[n]
+        links[parents[n]] += links[n]
+        texts[parents[n]] += texts[n]
+        most[parents[n]] = max(most[parents[n]], most[n])
+    first = next((i for i, b in enumerate(blocks) if tags[b.node] == "h1"), len(blocks))
+    logs = [0.0, *(min(1.0, math.log1p(len(b.text)) / 5) for b in blocks), 0.0]
+    whole, last = max(chars[0], 1), max(len(blocks) - 1, 1)
+    marked = mark_chrome(page)[1]
+    out = np.zeros((len(blocks), len(FEATURES)))
+    for i, b in enumerate(blocks):
+        tag, text = tags[b.node], b.text
+        length, commas = weight_of(text)
+        up = max(parents[b.node], 0)
+        above = max(parents[up], 0)
+        out[i] = (
+            1.0, min(1.0, math.log1p(length) / 5), length > 150, min(b.link, len(text)) / len(text), min(4, commas) / 4, SENTENCE.search(text) is not None,
+            DIGITS.search(text) is not None, tag in HEADINGS, tag in ("li", "dt", "dd"), tag in ("td", "th"), tag in _PARAGRAPH, b.pre, marked[i],
+            max(0.0, 1 - 8 * i / last), max(0.0, 4 * i / last - 3), chars[up] / whole, links[up] / max(chars[up], 1), min(texts[up], 20) / 20,
+            chars[above] / whole, links[above] / max(chars[above], 1), min(chars[above] / max(texts[above], 1), 200) / 200,
+            i >= first, tags[up] in ("ul", "ol", "dl"), tags[up] in ("tr", "table", "tbody"), tags[up] in ("body", "html", "#root"),
+            logs[i], logs[i + 2], min(most[up], 300) / 300, min(most[above], 300) / 300, tag == "li" and 2 * b.link > len(b.text), page.hints[up] != "",
+            i > 0 and tags[blocks[i - 1].node] == tag,
+            min(prose[up], 5) / 5, prose[up] / max(prose[0], 1), min(prose[above], 5) / 5, prose[above] / max(prose[0], 1), texts[up] == 1,
+        )
+    return out
+
+
+def edges_of(page: Page, adjacent: float, same: float) -> list[tuple[int, int, float]]:
+    """Smoothness between neighbours in document order, less the farther apart they stand in the tree, and between each text
+    of an element's children and the next."""
+    parents, blocks = page.parents, page.blocks
+    out, last = [], {}
     for i, block in enumerate(blocks):
+        up = parents[block.node]
         if i:
-            edges.append((i - 1, i, ADJACENT if inside[block.node] == inside[blocks[i - 1].node] else ADJACENT / 4))
-        parent = parents[block.node]
-        if parent in last:
-            edges.append((last[parent], i, SAME_PARENT))
-        last[parent] = i
-    return [b for b, yes in zip(blocks, min_cut(prefer, edges)) if yes]
+            before = blocks[i - 1].node
+            near = before == block.node or parents[before] == up
+            close = near or before == up or parents[before] == block.node
+            out.append((i - 1, i, adjacent * (1.0 if near else 0.5 if close else 0.15)))
+        if up in last:
+            out.append((last[up], i, same))
+        last[up] = i
+    return out
+
+
+@dataclass
+class ContentModel:
+    """Weights of the classifier and capacities of the edges."""
+
+    weights: np.ndarray
+    adjacent: float
+    same: float
+
+    def prefer(self, page: Page) -> list[float]:
+        """Each block's log odds of being content: its capacity to the source, or, negative, to the sink."""
+        return np.clip(features(page) @ self.weights, -MOST, MOST).tolist()
+
+    def labels(self, page: Page, smooth: bool = True) -> list[bool]:
+        """The labels of the minimum cut; not ``smooth``: those of the classifier alone."""
+        prefer = self.prefer(page)
+        return min_cut(prefer, edges_of(page, self.adjacent, self.same)) if smooth else [x > 0 for x in prefer]
+
+
+def fit_weights(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton's method, drawn to ``PRIOR``, so that few rows change it little."""
+    prior = np.array([PRIOR.get(f, 0.0) for f in FEATURES])
+
+    def loss(w: np.ndarray) -> float:
+        x = rows @ w
+        return float(np.logaddexp(0, x).sum() - x @ labels + PULL / 2 * ((w - prior) ** 2).sum())
+
+    w = prior.copy()
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        grad = rows.T @ (p - labels) + PULL * (w - prior)
+        hess = (rows * (p * (1 - p))[:, None]).T @ rows + PULL * np.eye(len(w))
+        step, now = np.linalg.solve(hess, grad), loss(w)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def fit_content(htmls: list[str]) -> ContentModel:
+    """Trains itself on sample pages: the blocks that tree scoring puts into main bodies are taken as content; from these
+    labels, which hold errors, the weights of the block's own signs are learned, and then, on the half of the pages that the
+    weights weren't fitted on, the capacities with which the cut errs least. No page is judged by its own labels: where signs,
+    neighbours and tree disagree with the scoring, they win."""
+    pages = [p for p in map(parse, htmls) if p.blocks]
+    labels = []
+    for p in pages:
+        kept = {id(b) for b in main_blocks(p)}
+        labels.append([id(b) in kept for b in p.blocks])
+    if not pages:
+        return ContentModel(fit_weights(np.zeros((0, len(FEATURES))), np.zeros(0)), *CAPACITIES[1])
+    rows = [features(p) for p in pages]
+
+    def weights(of: range) -> np.ndarray:
+        some = [i for i in of if i < len(pages)] or [0]
+        return fit_weights(np.vstack([rows[i] for i in some]), np.concatenate([labels[i] for i in some]).astype(float))
+
+    half, best = weights(range(0, len(pages), 2)), (None, CAPACITIES[1])
+    for adjacent, same in CAPACITIES:
+        model = ContentModel(half, adjacent, same)
+        wrong = sum(x != y for i in range(1, len(pages), 2) for x, y in zip(model.labels(pages[i]), labels[i]))
+        if best[0] is None or wrong < best[0]:
+            best = (wrong, (adjacent, same))
+    return ContentModel(weights(range(len(pages))), *best[1])
+
+
+def sample_pages(pages: DataFrame, html: str = "html_content", size: int = SAMPLE, most: int = SAMPLE_CHARS) -> list[str]:
+    """At most ``size`` pages of at most ``most`` characters, chosen by the hash of their html."""
+    there = pages.where(F.length(html).between(1, most)).select(F.xxhash64(html).alias("h"), F.col(html).alias("t"))
+    last = there.select("h").distinct().orderBy("h").limit(size).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    return [r.t for r in there.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).orderBy("h").limit(size).collect()]
+
+
+def content_blocks(page: Page, model: ContentModel, smooth: bool = True) -> list[Block]:
+    """The blocks that the minimum cut puts on the content's side, in order."""
+    return [b for b, yes in zip(page.blocks, model.labels(page, smooth)) if yes] if page.blocks else []
 
 
 # ------------------------------------------------------------------------------------------------- kinds of markup
@@ -288,9 +402,11 @@ def page_text(page: Page, blocks: list[Block], found: list[set[str]] | None = No
     return "\n\n".join(parts)
 
 
-def residue(pages: DataFrame, page_id: str = "page_id", html: str = "html_content") -> DataFrame:
+def residue(pages: DataFrame, page_id: str = "page_id", html: str = "html_content", model: ContentModel | None = None) -> DataFrame:
     """(page_id, kinds, text) of every page with content: the kinds of markup left in content blocks outside ``pre``,
-    and the clean text. Null and empty html gives no row; broken markup never fails; texts are read whole."""
+    and the clean text. Null and empty html gives no row; broken markup never fails; texts are read whole. ``model`` is
+    fitted on a bounded sample of the pages, if none is given."""
+    model = fit_content(sample_pages(pages, html)) if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -299,7 +415,7 @@ def residue(pages: DataFrame, page_id: str = "page_id", html: str = "html_conten
                 ids, found, texts = [], [], []
                 for i, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     page = parse(source)
-                    blocks = content_blocks(page)
+                    blocks = content_blocks(page, model)
                     if blocks:
                         own = [set() if b.pre else kinds(b.text) for b in blocks]
                         ids.append(i)
