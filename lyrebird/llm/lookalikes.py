@@ -24,14 +24,17 @@ _TOLD_APART = frozenset("ЬЗν")
 PAIRS = [(a, b) for a, b in zip(CYRILLIC + GREEK, CYRILLIC_LATIN + GREEK_LATIN) if a not in _TOLD_APART]
 TO_LATIN = {ord(a): b for a, b in PAIRS}
 TO_CYRILLIC = {}
+TO_GREEK = {}
 for _a, _b in PAIRS:
-    if "Ѐ" <= _a <= "ԯ":
-        TO_CYRILLIC.setdefault(ord(_b), _a)
+    (TO_CYRILLIC if "Ѐ" <= _a <= "ԯ" else TO_GREEK).setdefault(ord(_b), _a)
 for _a, _b in PAIRS:
-    if _a < "Ѐ" and ord(_b) in TO_CYRILLIC:
+    if "Ѐ" <= _a <= "ԯ":
+        if ord(_b) in TO_GREEK:
+            TO_GREEK[ord(_a)] = TO_GREEK[ord(_b)]
+    elif ord(_b) in TO_CYRILLIC:
         TO_CYRILLIC[ord(_a)] = TO_CYRILLIC[ord(_b)]
-LOOKALIKE_FROM = "".join(a for a, _ in PAIRS)
-LOOKALIKE_TO = "".join(b for _, b in PAIRS)
+#: Letters with a twin in another script.
+TWINS = frozenset(a for a, _ in PAIRS) | frozenset(b for _, b in PAIRS)
 
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​‌‎‏‪-‮⁠-⁤⁦-⁯︀-️﻿\U000e0000-\U000e0fff]")
 #: A joiner shows only between two pictures.
@@ -41,13 +44,17 @@ PLAIN_BLANKS = re.compile(r"[\t\n\v\f\r\x1c-\x1f]|  ")
 #: Signs and forms that differ only in width or kind; everything else of compatibility is visible and stays.
 COMPATIBLE = re.compile("[‐‑․-…Ⅰ-ⅿﬀ-ﭏ＀-￯µ−Ǉ-ǌǱ-ǳĲĳ∕∶]")
 _SIGNS = {"‐": "-", "‑": "-", "−": "–", "∕": "/", "∶": ":"}
-#: A token that may mix scripts: Latin beside Cyrillic or Greek letters.
+#: Letters of two of the scripts Latin, Greek and Cyrillic side by side.
 _L, _O = "A-Za-zÀ-ɏḀ-ỿ", "Ͱ-ԯ"
-MIXED = re.compile(f"[{_L}][̀-ͯ]*[{_O}]|[{_O}][̀-ͯ]*[{_L}]")
+_MARKS, _SIDES = "[\u0300-\u036f]*", (_L, "\u0370-\u03ff", "\u0400-\u052f")
+MIXED = re.compile("|".join(f"[{a}]{_MARKS}[{b}]" for a in _SIDES for b in _SIDES if a != b))
 TOKEN = re.compile(f"[{_L}{_O}̀-ͯ]+")
+#: Tokens whose letters all have twins.
+_ANY = f"{_L}{_O}\u0300-\u036f"
+TWINS_ALONE = re.compile(f"(?<![{_ANY}])(?=[^\\x00-\\x7f]|[A-Za-z]+[^\\x00-\\x7f])[{''.join(sorted(TWINS))}\u0300-\u036f]+(?![{_ANY}])")
 WORD_SPLIT = f"[^{_L}{_O}̀-ͯ]+"
-_LATIN = re.compile(f"[{_L}]")
-_CYRILLIC = re.compile("[Ѐ-ԯ]")
+_SCRIPTS = (("latin", re.compile(f"[{_L}]")), ("cyrillic", re.compile("[Ѐ-ԯ]")), ("greek", re.compile("[Ͱ-Ͽ]")))
+_TO = {"latin": TO_LATIN, "cyrillic": TO_CYRILLIC, "greek": TO_GREEK}
 
 
 def plain(text: str) -> str:
@@ -65,17 +72,25 @@ def plain(text: str) -> str:
     return BLANKS.sub(" ", text).strip()
 
 
+def dominant(token: str) -> str | None:
+    """A token's script: the one with the most letters that have no twin in another script; with equally many, the one with
+    the most letters, then the order Latin, Cyrillic, Greek. None if every letter has a twin: such a token has no script of
+    its own."""
+    best, most = None, (0, 0)
+    for name, letters in _SCRIPTS:
+        own = letters.findall(token)
+        count = (sum(c not in TWINS for c in own), len(own))
+        if count[0] and count > most:
+            best, most = name, count
+    return best
+
+
 def repair(token: str) -> str | None:
-    """A mixed-script token written in its dominant script, or None if that can't be done with look-alikes alone.
-
-    The dominant script is the one with more letters that have no look-alike in the other; if neither has any, the one
-    with more letters; at a tie Latin."""
-    latin = [c for c in token if _LATIN.match(c)]
-    cyrillic = [c for c in token if _CYRILLIC.match(c)]
-    own_l = sum(ord(c) not in TO_CYRILLIC for c in latin)
-    own_c = sum(ord(c) not in TO_LATIN for c in cyrillic)
-    to = TO_CYRILLIC if (own_c, len(cyrillic)) > (own_l, len(latin)) else TO_LATIN
-    out = token.translate(to)
+    """A mixed-script token written in its dominant script, or None if that can't be done with look-alikes alone."""
+    script = dominant(token)
+    if script is None:
+        return None
+    out = token.translate(_TO[script])
     return None if MIXED.search(out) or out == token else out
 
 
@@ -90,6 +105,16 @@ def mixed_tokens(text: str) -> list[dict]:
     return [{"token": k, "repaired": v} for k, v in out.items() if v is not None]
 
 
+def key_of(form: str) -> str:
+    """What texts that look the same have in common: the form with the tokens that repair can't settle in Latin twins. All
+    other tokens count as the repair has left them."""
+    if form.isascii():
+        return form
+    if MIXED.search(form):
+        form = TOKEN.sub(lambda m: m.group().translate(TO_LATIN) if MIXED.search(m.group()) else m.group(), form)
+    return TWINS_ALONE.sub(lambda m: m.group().translate(TO_LATIN), form)
+
+
 _MIXED = pa.list_(pa.struct([("token", pa.string()), ("repaired", pa.string())]))
 
 
@@ -106,45 +131,53 @@ def _plain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     pa.array(forms, pa.string()),
                     pa.array(marks, pa.binary()),
                     pa.array([mixed_tokens(f) if f else [] for f in forms], _MIXED),
+                    pa.array([None if f is None else _look(key_of(f)) for f in forms], pa.binary()),
                 ],
-                names=["doc_id", "plain", "mark", "mixed"],
+                names=["doc_id", "plain", "mark", "mixed", "look"],
             )
 
 
+def _look(key: str) -> bytes:
+    return hashlib.md5(key.encode("utf-8", "surrogatepass")).digest()
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         forms = []
         for text, found in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
             words = {p["token"]: p["repaired"] for p in found or ()}
             forms.append(TOKEN.sub(lambda m, w=words: w.get(m.group(), m.group()), text) if words else text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string()), batch.column(2)], names=["doc_id", "form", "mark"])
+        looks = pa.array([_look(key_of(f)) for f in forms], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string()), batch.column(2), looks], names=["doc_id", "form", "mark", "look"])
 
 
-def consistent_forms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def consistent_forms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repaired: bool = True) -> DataFrame:
     """(doc_id, form, mark, look): each document's consistent form, the MD5 of its text as it stands, and the MD5 by
     which texts that look the same are equal.
 
     Width, composition, invisible characters, ligatures and blanks are brought to one form. Then every token that mixes
     scripts is written in its dominant script, if the result occurs as a word elsewhere in the corpus; other tokens stay.
-    ``look`` is taken from the form with the letters that still have a look-alike counted as their Latin twin, so that
-    tokens of look-alikes alone, and tokens that no vocabulary settles, compare by their look. A null text has a null
-    form and look, a blank text the form ''. Repeated rows give repeated rows.
+    ``look`` is taken from the form so repaired: a token with letters of one script only counts as it is written. Only
+    tokens that repair can't settle (still mixed, as no vocabulary has the result, or of look-alikes alone) count by their
+    Latin twins. So a wrong or a missing repair shows in the pairs. A null text has a null form and look, a blank text the
+    form ''. Repeated rows give repeated rows. Not ``repaired``: without the repair, to measure what it does.
 
     The vocabulary is that of all documents. Only documents with mixed tokens go through the join with it.
     """
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id bigint, plain string, mark binary, mixed array<struct<token:string,repaired:string>>"
+    schema = "doc_id bigint, plain string, mark binary, mixed array<struct<token:string,repaired:string>>, look binary"
     kept = staged(spread(read).mapInArrow(_plain_batches, schema), "plain")
+    if not repaired:
+        return kept.select("doc_id", F.col("plain").alias("form"), "mark", "look")
     # kept as a table, so that the planner knows its size: the corpus is shuffled for the vocabulary only if it is large
     wanted = kept.where(F.size("mixed") > 0).select("doc_id", "mark", F.explode("mixed").alias("m")).select("doc_id", "mark", "m.token", "m.repaired").distinct()
     candidates = staged(wanted.select(F.col("repaired").alias("word")).distinct(), "candidates")
     vocabulary = kept.where("plain <> ''").select(F.explode(F.split("plain", WORD_SPLIT)).alias("word")).join(candidates, "word", "left_semi").distinct()
     known = wanted.join(vocabulary, F.col("repaired") == F.col("word")).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("token", "repaired")).alias("repairs"))
     todo = kept.where(F.size("mixed") > 0).join(known, ["doc_id", "mark"], "left").select("doc_id", "plain", "mark", "repairs")
-    done = todo.mapInArrow(_apply, "doc_id bigint, form string, mark binary")
-    same = kept.where(F.size("mixed") <= 0).select("doc_id", F.col("plain").alias("form"), "mark")
-    look = F.unhex(F.md5(F.translate("form", LOOKALIKE_FROM, LOOKALIKE_TO).cast("binary")))
-    return same.unionByName(done).select("doc_id", "form", "mark", look.alias("look"))
+    done = todo.mapInArrow(_apply, "doc_id bigint, form string, mark binary, look binary")
+    same = kept.where(F.size("mixed") <= 0).select("doc_id", F.col("plain").alias("form"), "mark", "look")
+    return same.unionByName(done)
 
 
 def same_look_pairs(forms: DataFrame) -> DataFrame:

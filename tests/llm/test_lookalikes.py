@@ -1,6 +1,8 @@
+import os
+
 import pytest
 
-from lyrebird.llm.lookalikes import consistent_forms, mixed_tokens, plain, repair, same_look_pairs
+from lyrebird.llm.lookalikes import consistent_forms, dominant, key_of, mixed_tokens, plain, repair, same_look_pairs
 
 
 @pytest.mark.parametrize(
@@ -19,6 +21,34 @@ def test_repair():
     assert [m["token"] for m in mixed_tokens("кoнцерт и concert")] == ["кoнцерт"]
 
 
+def test_scripts():
+    assert dominant("cop") is None and dominant("кoт") == "cyrillic" and dominant("cоncert") == "latin" and dominant("λόγoς") == "greek"
+    assert repair("λόγoς") == "λόγος" and repair("сл\u03bfвам") == "словам" and repair("сoр") is None  # no letter says which
+    assert key_of("сор кот") == "cop кот" and key_of("cop") == "cop" and key_of("жz о") == "жz o"
+
+
+def test_repair_decides_the_pairs(spark):
+    """Without the repair, texts whose words it would write in one script aren't found; tokens of look-alikes alone are."""
+    df = spark.createDataFrame([(1, "концерт и хор"), (2, "кoнцеpт и xop"), (3, "о, а"), (4, "o, a"), (5, "нoвый"), (6, "новый")], "doc_id bigint, text string")
+    on = {tuple(r) for r in same_look_pairs(consistent_forms(df)).collect()}
+    off = {tuple(r) for r in same_look_pairs(consistent_forms(df, repaired=False)).collect()}
+    assert on == {(1, 2), (3, 4), (5, 6)} and off == {(3, 4)}
+
+
+def test_repair_decides_pairs_of_the_test_documents(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    df = spark.read.parquet(path)
+    on = {tuple(r) for r in same_look_pairs(consistent_forms(df)).collect()}
+    off = {tuple(r) for r in same_look_pairs(consistent_forms(df, repaired=False)).collect()}
+    assert off < on
+
+
+def test_unsettled_on_both_sides(spark):
+    assert pairs(spark, ["рoяль", "pояль"]) == {(0, 1)}  # the word itself occurs nowhere
+
+
 def pairs(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "1 as form", "2 as look")
     return {tuple(r) for r in same_look_pairs(consistent_forms(df)).collect()}
