@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +17,8 @@ from lyrebird.plans.staging import staged
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, tokens, loss): the size of each text in tokens of the tokenizer and how many of them bear loss.
 
-    In a text of several lines the first is the prompt and bears none; in a text of one line all tokens do. Null and
-    empty texts have size 0."""
+    In a text of several lines the words that begin in the first are the prompt, whose tokens bear none; in a text of one
+    line all tokens do. A text is encoded once. Null and empty texts have size 0."""
     path = vocabulary_path(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,53 +26,73 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                sizes = [len(ids) for ids in bpe.encode(texts)]
-                heads = [t.lstrip().partition("\n") for t in texts]
-                prompts = [len(ids) for ids in bpe.encode([h[0] if h[2].strip() else "" for h in heads])]
-                loss = [max(0, n - p) for n, p in zip(sizes, prompts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(loss, pa.int32())], names=["doc_id", "tokens", "loss"])
+                counts = bpe.counts(batch.column(1).to_pylist())
+                sizes, loss = pa.array([n for n, _ in counts], pa.int32()), pa.array([n - p for n, p in counts], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, loss], names=["doc_id", "tokens", "loss"])
 
     return spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id bigint, tokens int, loss int")
 
 
-def pack(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """The container number of each item. ``demand``: items by dimensions, none above ``limits``.
-
-    One container is open at a time. It takes, as long as any item fits, the one whose demand (as a share of the limits)
-    has the largest dot product with the room that is left; ties go to the item that comes first. Equal items form one
-    class, so a step costs as many operations as there are different items, not items."""
-    if not len(demand):
-        return np.zeros(0, np.int64)
-    kinds, of, count = np.unique(demand, axis=0, return_inverse=True, return_counts=True)  # by rising first dimension
-    of = of.ravel()
-    members = np.split(np.argsort(of, kind="stable"), np.cumsum(count)[:-1])
-    first = kinds[:, 0].tolist()
-    columns = [np.ascontiguousarray(kinds[:, d]) for d in range(1, kinds.shape[1])]
-    share = np.ascontiguousarray((kinds / limits).T)
-    used = [0] * len(kinds)
-    out = np.zeros(len(demand), np.int64)
-    open_, whole, number, todo = np.ones(len(kinds), bool), limits.tolist(), 0, len(demand)
-    while todo:
-        room = list(whole)
-        while True:
-            end = bisect_right(first, room[0])  # what fits in the first dimension is a prefix
-            fits = open_[:end].copy()
-            for column, r in zip(columns, room[1:]):
-                fits &= column[:end] <= r
-            score = share[0, :end] * (room[0] / whole[0])
-            for d in range(1, len(whole)):
-                score += share[d, :end] * (room[d] / whole[d])
-            score[~fits] = -1.0
-            if not end or score[best := int(score.argmax())] < 0:
-                break
-            out[members[best][used[best]]] = number
-            used[best] += 1
-            todo -= 1
-            room = [r - int(k) for r, k in zip(room, kinds[best])]
-            if used[best] == count[best]:
-                open_[best] = False
+#: Items among which a container's next one is chosen.
+WINDOW = 64
+
+
+def pack(demand: np.ndarray, limits: np.ndarray, window: int = WINDOW, dimensions: int | None = None) -> np.ndarray:
+    """The container number of each item. ``demand``: whole numbers, items by dimensions, none above ``limits``.
+
+    One container is open at a time. It begins with the item that has waited longest and then takes, as long as one of the
+    next ``window`` items fits in all dimensions, the one whose demand (as a share of the limits) has the largest dot product
+    with the room that is left. So large items don't run out before the small ones, of which a container holds few, and every
+    container gets both. ``dimensions``: the dot product looks only at the first so many, to measure what the others do."""
+    size, dims = demand.shape
+    out = np.zeros(size, np.int64)
+    if not size:
+        return out
+    window, used = min(window, size), dims if dimensions is None else dimensions
+    whole = limits.astype(np.int64)
+    held, shares = demand[:window].astype(np.int64), (demand / limits)[:, :used]
+    share = shares[:window].copy()
+    waiting = np.arange(window)  # the items in the window; those gone count as ``size``
+    ahead, number, left = window, -1, size
+    gone = whole + 1  # fits nowhere
+
+    def take(slot: int) -> None:
+        nonlocal ahead, left
+        out[waiting[slot]] = number
+        left -= 1
+        if ahead < size:
+            waiting[slot], held[slot], share[slot] = ahead, demand[ahead], shares[ahead]
+            ahead += 1
+        else:
+            waiting[slot], held[slot] = size, gone
+
+    while left:
         number += 1
+        slot = int(waiting.argmin())
+        room = whole - held[slot]
+        take(slot)
+        while left:
+            fits = held[:, 0] <= room[0]
+            for d in range(1, dims):
+                fits &= held[:, d] <= room[d]
+            score = np.where(fits, share @ (room / whole)[:used], -1.0)
+            slot = int(score.argmax())
+            if score[slot] < 0:
+                break
+            room = room - held[slot]
+            take(slot)
+    return out
+
+
+def first_fit(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The plain rule that ``pack`` is measured against: each item goes into the first container that has room."""
+    out, room, number = np.zeros(len(demand), np.int64), np.tile(limits, (len(demand), 1)), 0
+    for i, item in enumerate(demand):
+        fits = (room[:number] >= item).all(1)
+        k = int(fits.argmax()) if fits.any() else number
+        number = max(number, k + 1)
+        room[k] -= item
+        out[i] = k
     return out
 
 
@@ -87,12 +106,16 @@ def _packer(round_no: int):
         capacity = table.column("capacity")[0].as_py()
         limits = np.array([capacity, table.column("segments")[0].as_py(), table.column("loss_limit")[0].as_py()], np.int64)
         tokens, loss = (table.column(c).to_numpy().astype(np.int64) for c in ("tokens", "loss"))
+        # an item that alone bears more loss than the limit leaves no room for any other that bears some
         number = pack(np.column_stack([tokens, np.ones_like(tokens), np.minimum(loss, limits[2])]), limits)
         kind, group = table.column("container_kind")[0].as_py(), table.column("grp")[0].as_py()
         names = [f"{kind}-{round_no}-{group}-{n}" for n in number.tolist()]
         filled = np.bincount(number, weights=tokens)[number]
-        arrays = [table.column("container_kind"), pa.array(names, pa.string()), table.column("doc_id"), table.column("piece"), table.column("nr"), table.column("tokens"), table.column("loss")]
-        return pa.Table.from_arrays([*arrays, pa.array(filled / capacity, pa.float64()), table.column("capacity")], names=["container_kind", "container_id", "doc_id", "piece", "nr", "tokens", "loss", "fill", "capacity"])
+        arrays = [table.column("container_kind"), pa.array(names, pa.string()), *(table.column(c) for c in ("doc_id", "piece", "nr", "tokens", "loss", "over_limit", "segments", "loss_limit"))]
+        return pa.Table.from_arrays(
+            [*arrays, pa.array(filled / capacity, pa.float64()), table.column("capacity")],
+            names=["container_kind", "container_id", "doc_id", "piece", "nr", "tokens", "loss", "over_limit", "segments", "loss_limit", "fill", "capacity"],
+        )
 
     return run
 
@@ -100,21 +123,23 @@ def _packer(round_no: int):
 def filled_containers(
     sizes: DataFrame,
     containers: DataFrame,
-    segments_per: int = 8,
-    loss_share: float = 1.0,
+    segment_slack: float = 2.0,
+    loss_slack: float = 1.2,
     group_rows: int = 8192,
     poor: float = 0.97,
     rounds: int = 3,
 ) -> DataFrame:
-    """(container_kind, container_id, doc_id, piece, tokens, loss): where each text goes, for each kind of container.
+    """(container_kind, container_id, doc_id, piece, tokens, loss, over_limit, capacity, segments, loss_limit): where each
+    text goes, for each kind of container, and the limits of that kind.
 
     ``sizes``: (doc_id, tokens, loss); ``containers``: (container_kind, capacity_tokens), few rows. A text is split into
-    pieces of the capacity only if it alone exceeds it. A container holds at most its capacity in tokens, one segment
-    for each ``segments_per`` tokens of capacity, and ``loss_share`` of the capacity in loss-bearing tokens; a piece that
-    alone bears more takes up the whole limit and comes out with its own number, above the limit. Texts
-    without tokens need no room: they come out with piece 0 and a null container_id; so do texts of null id, which are
-    packed like others. Repeated rows are items of their own. Capacities that are null or below 1 hold nothing and give
-    no rows.
+    pieces of the capacity only if it alone exceeds it. A container holds at most its capacity in tokens, ``segments`` pieces
+    and ``loss_limit`` loss-bearing tokens. Both limits come from the data: what a full container of average content has,
+    times ``segment_slack`` and ``loss_slack``, at most the capacity. As a text within the capacity is never split, a piece
+    that alone bears more loss than the limit is kept whole, comes out with its own number and ``over_limit``, and shares its
+    container only with pieces that bear none. Texts without tokens need no room: they come out with piece 0 and a null
+    container_id; so do texts of null id, which are packed like others. Repeated rows are items of their own. Capacities that
+    are null or below 1 hold nothing and give no rows.
 
     Items are dealt by hash to groups of about ``group_rows`` rows, which are packed apart, in parallel and in bounded
     memory. Items of containers filled below ``poor`` are dealt anew, together, to fewer groups and packed again,
@@ -132,26 +157,45 @@ def filled_containers(
     prompt = F.col("tokens") - F.col("loss")  # stands first
     loss = F.least(size, F.greatest(F.lit(0), start + size - prompt))
     items = pieces.select("container_kind", "capacity", "doc_id", "nr", "piece", size.cast("int").alias("tokens"), loss.cast("int").alias("loss"))
+    content = items.groupBy("container_kind", "capacity").agg(F.count("*").alias("c"), F.sum("tokens").alias("t"), F.sum("loss").alias("l"))
+    at_most = lambda n, slack: F.least(F.col("capacity"), F.greatest(F.lit(1), F.ceil(F.col("capacity") * F.col(n) / F.col("t") * F.lit(slack))))
+    limits = F.broadcast(content.select("container_kind", "capacity", at_most("c", segment_slack).alias("segments"), at_most("l", loss_slack).alias("loss_limit")))  # a row for each kind
+    items = items.join(limits, ["container_kind", "capacity"]).withColumn("over_limit", F.col("loss") > F.col("loss_limit"))
+    columns = ["container_kind", "capacity", "doc_id", "nr", "piece", "tokens", "loss", "over_limit", "segments", "loss_limit"]
     out: DataFrame | None = None
     for r in range(rounds):
-        n = items.groupBy("container_kind").agg(F.count("*").alias("n"))
-        grouped = items.join(F.broadcast(n), "container_kind")  # a row for each kind
+        n = items.groupBy("container_kind", "capacity").agg(F.count("*").alias("n"))
+        grouped = items.join(F.broadcast(n), ["container_kind", "capacity"])  # a row for each kind
         groups = F.ceil(F.col("n") / F.lit(group_rows))
         grouped = grouped.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "nr", F.lit(r)), groups)).drop("n")
-        grouped = grouped.withColumn("segments", F.greatest(F.lit(1), F.floor(F.col("capacity") / segments_per))).withColumn(
-            "loss_limit", F.greatest(F.lit(1), F.floor(F.col("capacity") * F.lit(loss_share)))
-        )
-        placed = grouped.groupBy("container_kind", "grp").applyInArrow(
-            _packer(r), "container_kind string, container_id string, doc_id bigint, piece int, nr bigint, tokens int, loss int, fill double, capacity bigint"
+        placed = grouped.groupBy("container_kind", "capacity", "grp").applyInArrow(
+            _packer(r),
+            "container_kind string, container_id string, doc_id bigint, piece int, nr bigint, tokens int, loss int, over_limit boolean, segments bigint, loss_limit bigint, fill double, capacity bigint",
         )
         placed = staged(placed, f"packed{r}")
         good = placed if r == rounds - 1 else placed.where(F.col("fill") >= poor)
         out = good if out is None else out.unionByName(good)
-        items = placed.where(F.col("fill") < poor).select("container_kind", "capacity", "doc_id", "nr", "piece", "tokens", "loss")
-    empty = sizes.where("tokens = 0").select(
-        F.lit(None).cast("string").alias("container_kind"), F.lit(None).cast("string").alias("container_id"), "doc_id", F.lit(0).alias("piece"), F.lit(0).alias("tokens"), F.lit(0).alias("loss")
-    )
-    return out.select("container_kind", "container_id", "doc_id", "piece", "tokens", "loss").unionByName(empty)
+        items = placed.where(F.col("fill") < poor).select(*columns)
+    shown = ["container_kind", "container_id", "doc_id", "piece", "tokens", "loss", "over_limit", "capacity", "segments", "loss_limit"]
+    types = dict(out.dtypes)
+    fixed = {"doc_id": F.col("doc_id"), "piece": F.lit(0), "tokens": F.lit(0), "loss": F.lit(0), "over_limit": F.lit(False)}
+    empty = sizes.where("tokens = 0").select(*(fixed.get(c, F.lit(None)).cast(types[c]).alias(c) for c in shown))
+    return out.select(*shown).unionByName(empty)
+
+
+def fill_figures(filled: DataFrame) -> DataFrame:
+    """(container_kind, containers, items, fill, most_tokens, most_segments, most_loss, over_limit, segments, loss_limit): how
+    full the containers of each kind are on the whole, and the most that one holds; ``most_loss`` leaves out containers with a
+    piece over the limit, ``over_limit`` counts those."""
+    each = filled.where("container_id is not null").groupBy("container_kind", "container_id").agg(
+        F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"), F.bool_or("over_limit").alias("over"),
+        F.max("capacity").alias("capacity"), F.max("segments").alias("segments"), F.max("loss_limit").alias("loss_limit"),
+    )
+    return each.groupBy("container_kind").agg(
+        F.count("*").alias("containers"), F.sum("items").alias("items"), F.round(F.sum("tokens") / F.sum("capacity"), 4).alias("fill"), F.max("tokens").alias("most_tokens"),
+        F.max("items").alias("most_segments"), F.max(F.when(~F.col("over"), F.col("loss"))).alias("most_loss"), F.count_if("over").alias("over_limit"),
+        F.max("segments").alias("segments"), F.max("loss_limit").alias("loss_limit"),
+    )
 
 
 def p8_filled(spark, sf_dir: str) -> DataFrame:
@@ -160,5 +204,10 @@ def p8_filled(spark, sf_dir: str) -> DataFrame:
     return filled_containers(sizes, spark.read.parquet(f"{sf_dir}/containers.parquet"))
 
 
-QUERIES = {"p8_filled": p8_filled}
+def p8_fill(spark, sf_dir: str) -> DataFrame:
+    """How full the containers of ``p8_filled`` are."""
+    return fill_figures(p8_filled(spark, sf_dir))
+
+
+QUERIES = {"p8_filled": p8_filled, "p8_fill": p8_fill}
 ORACLE: dict[str, str] = {}

@@ -88,6 +88,7 @@ class SpeculativeBpe:
         self.size, self.keys, self.values = size, np.array(keys)[order], np.array(values)[order]
         self.split = regex.compile(PATTERN).findall
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.sizes: dict[str, int] = {}
         self.pairs: dict[int, bool] = {}
         self.guessed = self.merged = 0
 
@@ -182,6 +183,35 @@ class SpeculativeBpe:
         self.merged += len(failed)
         return guesses
 
+    def counts(self, texts: list[str | None]) -> list[tuple[int, int]]:
+        """The number of tokens of each text, and how many of these belong to words that begin in its first line, if it has
+        several: its prompt. One pass; a text is split once."""
+        split = [self.split(t) if t else [] for t in texts]
+        sizes = self.sizes
+        if len(sizes) > KEEP:
+            sizes.clear()
+        new = list({w for ws in split for w in ws if w not in sizes})
+        once: dict[str, int] = {}
+        if new:
+            for w, ids in zip(new, self.words(new)):
+                (sizes if len(w) <= LONGEST_KEPT else once)[w] = len(ids)
+        out = []
+        for text, ws in zip(texts, split):
+            of = [sizes[w] if w in sizes else once[w] for w in ws]
+            prompt = 0
+            if text and "\n" in text:
+                begin = len(text) - len(text.lstrip())
+                end = text.find("\n", begin)
+                if end >= 0 and text[end:].strip():
+                    at = 0
+                    for w, n in zip(ws, of):
+                        if at >= end:
+                            break
+                        prompt += n
+                        at += len(w)
+            out.append((sum(of), prompt))
+        return out
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text; [] for null and empty texts."""
         split = [self.split(t) if t else [] for t in texts]

@@ -77,6 +77,27 @@ def test_log_entropy(spark):
     assert len(got) == len(tf)
 
 
+def test_repeated_ids_add_up(spark):
+    df = spark.createDataFrame([(1, "аа бб"), (1, "аа аа"), (2, "бб"), (None, "бб"), (3, "аа " * 50_000)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.term): r.tf for r in local_frequencies(df).collect()}
+    assert got == {(1, "аа"): 3, (1, "бб"): 1, (2, "бб"): 1, (3, "аа"): 50_000}
+
+
+def test_the_weight_decides(spark):
+    """The executed plan holds the logarithms, and the score takes out what the counts would let in were it wrong."""
+    rows = [(i, "слово " * 5 + f"своё{'абвгдежзик'[i]}") for i in range(8)] + [(20, "редкое " * 5), (21, "редкое " * 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted = df.select("doc_id")
+    plan = telling_words(df, wanted)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "log1p" in plan and "weight" in plan
+    assert {(r.doc_id, r.term) for r in telling_words(df, wanted, most_df=99).collect()} == {(i, "слово") for i in range(8)} | {(20, "редкое"), (21, "редкое")}
+    # a limit on the weight of two documents leaves no room for a term of eight, whatever the count says
+    by_score = telling_words(df, wanted, least_df=2, most_df=2)
+    assert {r.term for r in by_score.collect()} == {"редкое"} and all(r.weight >= 1 - math.log(2) / math.log(10) - 1e-9 for r in by_score.collect())
+    both = [{tuple(r) for r in telling_words(df, wanted, by_weight=w).select("doc_id", "term").collect()} for w in (True, False)]
+    assert both[0] == both[1]  # nothing within the limits is lost
+
+
 def test_telling_words(spark):
     df = spark.createDataFrame(DOCS, "doc_id bigint, text string")
     wanted = spark.createDataFrame([(3,), (3,), (9,), (None,)], "doc_id bigint")

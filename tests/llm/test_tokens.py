@@ -1,9 +1,10 @@
+import os
 import random
 
 import numpy as np
 import pytest
 
-from lyrebird.llm.packing import filled_containers, measured, pack
+from lyrebird.llm.packing import fill_figures, filled_containers, first_fit, measured, p8_filled, pack
 from lyrebird.llm.tokens import SpeculativeBpe, token_ids, vocabulary_path
 
 pytest.importorskip("public_tokenizers")
@@ -94,10 +95,66 @@ def test_measured(spark):
 
 
 def test_loss_above_the_limit_is_reported(spark):
-    from lyrebird.llm.packing import filled_containers
-
-    sizes = spark.createDataFrame([(1, 100, 100), (2, 60, 30), (3, 40, 30)], "doc_id bigint, tokens int, loss int")
+    sizes = spark.createDataFrame([(1, 100, 100), (2, 60, 30), (3, 40, 30), (4, 90, 85), (5, 10, 0), (6, 200, 0)], "doc_id bigint, tokens int, loss int")
     kinds = spark.createDataFrame([("a", 100)], "container_kind string, capacity_tokens int")
-    rows = filled_containers(sizes, kinds, loss_share=0.5).collect()
-    assert {r.doc_id: r.loss for r in rows} == {1: 100, 2: 30, 3: 30}
-    assert len({r.container_id for r in rows}) == 3
+    rows = filled_containers(sizes, kinds, loss_slack=1.25).collect()
+    assert {r.loss_limit for r in rows} == {62}  # 245 of 500 tokens
+    assert {(r.doc_id, r.piece): r.loss for r in rows} == {(1, 0): 100, (2, 0): 30, (3, 0): 30, (4, 0): 85, (5, 0): 0, (6, 0): 0, (6, 1): 0}
+    assert {r.doc_id for r in rows if r.over_limit} == {1, 4}
+    held = {}
+    for r in rows:
+        held.setdefault(r.container_id, []).append(r)
+    for own in held.values():
+        assert sum(r.tokens for r in own) <= 100 and len(own) <= own[0].segments
+        over = [r for r in own if r.over_limit]
+        assert sum(r.loss for r in own) <= 62 or (len(over) == 1 and not any(r.loss for r in own if not r.over_limit))
+
+
+def _cases(seed):
+    rng = np.random.default_rng(seed)
+    tokens = np.concatenate([rng.integers(1, 60, 700), rng.integers(60, 500, 700)])
+    rng.shuffle(tokens)
+    loss = (tokens * rng.uniform(0.3, 1.0, len(tokens))).astype(int)
+    return np.column_stack([tokens, np.ones_like(tokens), loss])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_all_dimensions_decide(seed):
+    """Packing by tokens alone breaks the limits on segments and loss; the dot product over all of them keeps them, and needs
+    fewer containers than the dot product over tokens and than first fit."""
+    demand = _cases(seed)
+    total = demand.sum(0)
+    limits = np.array([512, int(512 * total[1] / total[0] * 1.3), int(512 * total[2] / total[0] * 1.15)])
+    demand[:, 2] = np.minimum(demand[:, 2], limits[2])
+    alone = pack(demand[:, :1], limits[:1])
+    broken = [(demand[alone == k].sum(0) > limits).any() for k in range(alone.max() + 1)]
+    assert np.mean(broken) > 0.1
+    whole, tokens_only = pack(demand, limits), pack(demand, limits, dimensions=1)
+    assert (whole != tokens_only).any() and (whole != alone).any()
+    for k in range(whole.max() + 1):
+        assert (demand[whole == k].sum(0) <= limits).all()
+    assert whole.max() <= tokens_only.max() and whole.max() <= first_fit(demand, limits).max()
+
+
+def test_limits_bind_on_the_test_documents(spark):
+    path = "/root/testdata/sf0.01"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    rows = p8_filled(spark, path).where("container_id is not null").collect()
+    for kind in {r.container_kind for r in rows}:
+        own = [r for r in rows if r.container_kind == kind]
+        limits = np.array([own[0].capacity, own[0].segments, own[0].loss_limit])
+        own = [r for r in own if not r.over_limit]
+        demand = np.array([(r.tokens, 1, r.loss) for r in sorted(own, key=lambda r: (r.doc_id, r.piece))])
+        alone, whole = pack(demand[:, :1], limits[:1]), pack(demand, limits)
+        assert any((demand[alone == k].sum(0) > limits).any() for k in range(alone.max() + 1)) and (alone != whole).any()
+    figures = {r.container_kind: r for r in fill_figures(p8_filled(spark, path)).collect()}
+    assert all(r.most_segments <= r.segments and r.most_loss <= r.loss_limit and r.fill > 0.9 for r in figures.values())
+
+
+def test_counts_are_those_of_the_ids(bpe):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab c\nёж 12's\r\n") for _ in range(rng.randrange(40))) for _ in range(500)] + ["", None, "\n\n", "q\n", " q\nz"]
+    got = bpe.counts(texts)
+    assert [n for n, _ in got] == [len(x) for x in bpe.encode(texts)] and all(0 <= p <= n for n, p in got)
+    assert got[-1][1] > 0 and got[-2][1] == 0
