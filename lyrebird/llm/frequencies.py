@@ -9,26 +9,33 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.functions.text import normalize
+from lyrebird.functions.text import LOWER, UPPER
+from lyrebird.plans.spread import spread
+from lyrebird.plans.staging import staged
 
 #: Bits of a term's hash that each level of the partitioning takes.
 BITS = 4
-#: A partition of more rows is split by the next bits; of DuckDB's memory, in MB.
+#: Rows that a task adds up in memory, and beyond which it splits a partition by the next bits; DuckDB's memory, in MB.
 SPLIT_ROWS, MEMORY_MB = 500_000, 256
 TERMS = pa.schema([("kind", pa.string()), ("term", pa.string()), ("h", pa.int64()), ("total", pa.int64()), ("records", pa.int64())])
 TERMS_DDL = "kind string, term string, h bigint, total bigint, records bigint"
+#: The kind of the rows that hold, instead of a term, a record and its number of distinct terms of each kind.
+RECORD = "record:"
 
 
 def _scratch() -> str:
     """A folder in the scratch space that Spark gives this executor for its own spills, for this task only."""
     places = (os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or "").split(",")
     root = next((p for p in places if p and os.path.isdir(p)), None)
+    if root is None:
+        raise RuntimeError("terms have to be spilled, but Spark's scratch folder (SPARK_LOCAL_DIRS) isn't known to this task")
     return tempfile.mkdtemp(prefix="radix-", dir=root)
 
 
@@ -36,16 +43,26 @@ def _connect(folder: str, memory_mb: int) -> duckdb.DuckDBPyConnection:
     return duckdb.connect(config={"memory_limit": f"{memory_mb}MB", "temp_directory": f"{folder}/duck", "threads": 1, "preserve_insertion_order": False})
 
 
+_SUM = "select kind, term, h, sum(total)::bigint as total, sum(records)::bigint as records from {} group by all"
+
+
 class RadixSpill:
     """Sums of (kind, term) rows of any number in bounded memory.
 
-    Rows go to disk by the next ``BITS`` bits of their term's hash. A partition of more than ``split_rows`` rows is read
-    again in pieces and split by the bits after those; the others are aggregated by DuckDB, which works out of core
-    itself. A partition that has one hash value only can't be split and is aggregated as it is."""
+    Up to ``split_rows`` rows are held and added up by DuckDB; if the sums still take more than half of that, all rows, these
+    and those to come, go to disk by the next ``BITS`` bits of their term's hash. A partition of more than ``split_rows`` rows
+    is read again in pieces and split by the bits after those; the others are aggregated by DuckDB, which works out of core
+    itself. A partition that has one hash value only can't be split and is aggregated as it is. ``folder``: where to spill, or
+    what gives that folder when it is needed."""
 
-    def __init__(self, folder: str, split_rows: int = SPLIT_ROWS, memory_mb: int = MEMORY_MB, bits: int = BITS, shift: int = 0):
-        self.folder, self.split_rows, self.memory_mb, self.bits, self.shift = Path(folder), split_rows, memory_mb, bits, shift
-        self.duck = _connect(folder, memory_mb)
+    def __init__(self, folder, split_rows: int = SPLIT_ROWS, memory_mb: int = MEMORY_MB, bits: int = BITS, shift: int = 0):
+        self.place, self.split_rows, self.memory_mb, self.bits, self.shift = folder, split_rows, memory_mb, bits, shift
+        self.memory = duckdb.connect(config={"threads": 1, "preserve_insertion_order": False})
+        self.spilled: str | None = None
+
+    def _sum(self, held: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(held)  # noqa: F841 (read by the query)
+        return self.memory.sql(_SUM.format("rows")).to_arrow_table().cast(TERMS)
 
     def split(self, batches: Iterator[pa.RecordBatch], shift: int, where: Path) -> dict[int, int]:
         """Writes the rows to one file for each value of the bits from ``shift`` on; the rows of each."""
@@ -70,7 +87,25 @@ class RadixSpill:
         return rows
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from self._run(batches, self.shift, self.folder / "p")
+        held: list[pa.Table] = []
+        rows = 0
+        batches = iter(batches)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]).cast(TERMS))
+            rows += batch.num_rows
+            if rows >= self.split_rows:
+                held = [self._sum(held)]
+                rows = held[0].num_rows
+                if 2 * rows > self.split_rows:
+                    self.spilled = self.place() if callable(self.place) else str(self.place)
+                    self.duck = _connect(self.spilled, self.memory_mb)
+                    first = iter(held[0].to_batches(65_536))
+                    yield from self._run((b for part in (first, batches) for b in part), self.shift, Path(self.spilled) / "p")
+                    return
+        if held:
+            yield from self._sum(held).to_batches(65_536)
 
     def _run(self, batches: Iterator[pa.RecordBatch], shift: int, where: Path) -> Iterator[pa.RecordBatch]:
         for value, rows in sorted(self.split(batches, shift, where).items()):
@@ -78,65 +113,128 @@ class RadixSpill:
             if rows > self.split_rows and shift + self.bits < 64 and self._several(file):
                 yield from self._run(pq.ParquetFile(file).iter_batches(65_536), shift + self.bits, where / str(value))
             else:
-                table = self.duck.sql(f"select kind, term, h, sum(total)::bigint as total, sum(records)::bigint as records from read_parquet('{file}') group by all").to_arrow_table()
-                yield from table.cast(TERMS).to_batches(65_536)
+                yield from self.duck.sql(_SUM.format(f"read_parquet('{file}')")).to_arrow_table().cast(TERMS).to_batches(65_536)
             file.unlink()
 
     def _several(self, file: Path) -> bool:
         return self.duck.execute(f"select min(h) < max(h) from read_parquet('{file}')").fetchall()[0][0]
 
 
-def _aggregate(shift: int, split_rows: int, memory_mb: int):
-    """Per-task function: streams the task's rows through a RadixSpill in the task's scratch folder."""
+def _added(batches: Iterator[pa.RecordBatch], shift: int, split_rows: int, memory_mb: int) -> Iterator[pa.RecordBatch]:
+    """The rows streamed through a RadixSpill, which gets a scratch folder if it needs one."""
+    spill = RadixSpill(_scratch, split_rows, memory_mb, shift=shift)
+    try:
+        yield from spill.run(batches)
+    finally:
+        if spill.spilled:
+            shutil.rmtree(spill.spilled, ignore_errors=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = _scratch()
-        try:
-            yield from RadixSpill(folder, split_rows, memory_mb, shift=shift).run(batches)
-        finally:
-            shutil.rmtree(folder, ignore_errors=True)
 
-    return run
+_FOLD = str.maketrans(UPPER, LOWER)
+#: Blanks: those of Java's regular expressions and the non-breaking one.
+_BLANKS = " \t\n\x0b\f\r\u00a0"
 
 
-def term_frequencies(entries: DataFrame, split_rows: int = SPLIT_ROWS, memory_mb: int = MEMORY_MB) -> DataFrame:
-    """(kind, term, total, records): for every distinct term its total count and the number of records with it.
+def fold_term(term: str) -> str:
+    """A term's compared form: without blanks at both ends, A-Z, А-Я, Ё in lower case."""
+    return term.strip(_BLANKS).translate(_FOLD)
+
+
+def _hashes(terms: list[str]) -> np.ndarray:
+    """A 64-bit hash of each term, the same on every machine."""
+    return pd.util.hash_array(np.array(terms, dtype=object), categorize=False).view(np.int64) if terms else np.zeros(0, np.int64)
+
+
+def _rows(kind: str, terms: list[str], total: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array(_hashes(terms)), pa.array(total), pa.array(records)], schema=TERMS)
+
+
+def count_batch(records: pa.Array, maps: dict[str, pa.Array], distinct: bool = True) -> Iterator[pa.RecordBatch]:
+    """The sums of one batch of records: for each kind its folded terms with their total and their number of records, and, if
+    ``distinct``, for each record with an id its number of distinct terms. Null maps, keys and counts and counts below 1 don't
+    occur; several spellings of one term in a record are one."""
+    names = [None if r is None else str(r) for r in records.to_pylist()]
+    for kind, column in maps.items():
+        offsets = np.asarray(column.offsets)
+        lengths = np.where(np.asarray(column.is_null()), 0, np.diff(offsets))
+        at = np.repeat(offsets[:-1] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))  # entries of maps that aren't null
+        of = np.repeat(np.arange(len(column)), lengths)
+        keys, values = column.keys.take(pa.array(at)).dictionary_encode(), column.items.take(pa.array(at))
+        n = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        index = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        good = (n > 0) & (index >= 0)
+        of, n, index = of[good], n[good], index[good]
+        numbers: dict[str, int] = {}
+        code = np.array([numbers.setdefault(fold_term(k), len(numbers)) for k in keys.dictionary.to_pylist()] or [0], np.int64)
+        size = max(len(numbers), 1)
+        term = code[index]
+        total = np.zeros(size, np.int64)
+        np.add.at(total, term, n)
+        once = np.unique(of * size + term)
+        seen = np.bincount(once % size, minlength=size)
+        there = np.flatnonzero(seen)
+        terms = list(numbers)
+        yield _rows(kind, [terms[i] for i in there.tolist()], total[there], seen[there].astype(np.int64))
+        if distinct:
+            own = np.bincount(once // size, minlength=len(column)).astype(np.int64)
+            known = np.array([i for i, name in enumerate(names) if name is not None], np.int64)
+            yield _rows(RECORD + kind, [names[i] for i in known.tolist()], own[known], np.ones(len(known), np.int64))
+
+
+def partial_sums(records: DataFrame, record: str, kinds: dict[str, str], split_rows: int = SPLIT_ROWS, memory_mb: int = MEMORY_MB) -> DataFrame:
+    """(kind, term, h, total, records) added up within each task, and the rows of ``RECORD`` kinds; kept as a table.
+
+    ``records``: one row for each record, with its maps from term to count in the columns that ``kinds`` names. A record's
+    terms are counted where the record is: maps don't cross the network, and a term of every record leaves a task once."""
+    names = list(kinds)
 
-    ``entries``: (record, kind, term, n), several rows of one record and term allowed; rows must lie with the others of
-    their record, as after a grouping by record. Null terms and counts that are null or below 1 don't occur.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[pa.RecordBatch] = []  # rows of records go out as they come, a batch of them at a time
 
-    Each task first adds up its own rows (so that a term of every record leaves a task once), the sums are dealt to
-    tasks by the hash, and there the recursive radix spilling takes over. Every term is counted, however many there are.
-    """
-    own = entries.where("term is not null and n > 0").groupBy("record", "kind", "term").agg(F.sum("n").alias("n"))
-    rows = own.select("kind", "term", F.xxhash64("term").alias("h"), F.col("n").alias("total"), F.lit(1).cast("bigint").alias("records"))
-    partial = rows.mapInArrow(_aggregate(0, split_rows, memory_mb), TERMS_DDL)
-    # the exchange is the first level: it writes partitions by the hash to disk; the tasks split by bits above those
-    dealt = partial.repartition(F.col("kind"), F.shiftright("h", 52))
-    return dealt.mapInArrow(_aggregate(0, split_rows, memory_mb), TERMS_DDL).drop("h")
+        def terms() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in count_batch(batch.column(0), {k: batch.column(1 + i) for i, k in enumerate(names)}):
+                    if part.num_rows and part.column(0)[0].as_py().startswith(RECORD):
+                        own.append(part)
+                    else:
+                        yield part
 
+        counted = terms()
+        for batch in _added(counted, 0, split_rows, memory_mb):
+            yield batch
+        yield from own
 
-def folded_term(c: Column) -> Column:
-    """A term's compared form: without blanks at both ends, A-Z, А-Я, Ё in lower case."""
-    return normalize(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", ""))
+    read = spread(records.select(F.col(record).cast("bigint").alias("record"), *(F.col(kinds[k]).alias(f"m{i}") for i, k in enumerate(names))))
+    return staged(read.mapInArrow(run, TERMS_DDL), "sums")
 
 
-def latest_stats(stats: DataFrame) -> DataFrame:
-    """One row for each stats_id: its row with the latest computed_at; among equals the one with the larger counts.
-    Rows of null stats_id are left out."""
-    ahead = F.struct("computed_at", "total_tokens", "unique_tokens", "unique_stems", "total_bytes", "total_documents")
-    best = stats.where("stats_id is not null").groupBy("stats_id").agg(F.max_by(F.struct("token_freq", "stem_freq"), ahead).alias("m"))
-    return best.select("stats_id", "m.token_freq", "m.stem_freq")
+def term_frequencies(sums: DataFrame, split_rows: int = SPLIT_ROWS, memory_mb: int = MEMORY_MB) -> DataFrame:
+    """(kind, term, total, records): for every distinct term its total count and the number of records with it, from the sums
+    of the tasks. The exchange is the first level of the radix partitioning: it writes partitions by the hash to disk; each
+    task then goes on with the bits after those. Every term is counted, however many there are."""
+    dealt = sums.where(~F.startswith("kind", F.lit(RECORD))).repartition(F.col("kind"), F.shiftright("h", 52))
+    return dealt.mapInArrow(lambda batches: _added(batches, 0, split_rows, memory_mb), TERMS_DDL).drop("h")
 
 
-def entries_of(latest: DataFrame) -> DataFrame:
-    """(record, kind, term, n) of both maps; the rows of a stats_id stay where it is."""
-    none = F.array().cast("array<struct<key:string,value:bigint>>")
+def latest_stats(stats: DataFrame) -> DataFrame:
+    """One row for each stats_id: its row with the latest computed_at; among equals the one with the larger counts, then with
+    the larger hash of its maps. Rows of null stats_id are left out.
+
+    The winners are found on narrow columns. A row that alone has its stats_id's latest date and counts is taken as it is,
+    without a grouping; only of repeated ones the maps are grouped."""
+    ahead = F.struct("computed_at", "total_tokens", "unique_tokens", "unique_stems", "total_bytes", "total_documents")
+    rows = stats.where("stats_id is not null").select("stats_id", ahead.alias("ahead"), "token_freq", "stem_freq")
+    narrow = rows.groupBy("stats_id", "ahead").agg(F.count("*").alias("n"))
+    best = staged(narrow.groupBy("stats_id").agg(F.max(F.struct("ahead", "n")).alias("b")).select("stats_id", "b.ahead", "b.n"), "winners")
+    alone = rows.join(best.where("n = 1").select("stats_id", "ahead"), ["stats_id", "ahead"], "left_semi").select("stats_id", "token_freq", "stem_freq")
+    equal = rows.join(best.where("n > 1").select("stats_id", "ahead"), ["stats_id", "ahead"], "left_semi")
+    of_maps = F.xxhash64(F.map_entries("token_freq"), F.map_entries("stem_freq"))
+    one = equal.groupBy("stats_id").agg(F.max_by(F.struct("token_freq", "stem_freq"), of_maps).alias("m")).select("stats_id", "m.token_freq", "m.stem_freq")
+    return alone.unionByName(one)
 
-    def pairs(kind: str, column: str) -> Column:
-        return F.transform(F.coalesce(F.map_entries(column), none), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].alias("value")))
 
-    return latest.select(F.col("stats_id").alias("record"), F.inline(F.concat(pairs("token", "token_freq"), pairs("stem", "stem_freq")))).select("record", "kind", folded_term(F.col("key")).alias("term"), F.col("value").alias("n"))
+#: The maps of a row of statistics by the kind of their terms.
+MAPS = {"token": "token_freq", "stem": "stem_freq"}
 
 
 def marked(frequencies: DataFrame, records: DataFrame, common: float = 0.6) -> DataFrame:
@@ -147,25 +245,24 @@ def marked(frequencies: DataFrame, records: DataFrame, common: float = 0.6) -> D
     )
 
 
-def differing_counts(index: DataFrame, latest: DataFrame) -> DataFrame:
+def differing_counts(index: DataFrame, sums: DataFrame) -> DataFrame:
     """The stats_id of index rows whose unique_terms isn't null and differs from the number of distinct tokens that
     occur in that stats_id (0 for a null map). Index rows of an unknown stats_id aren't checked."""
-    present = F.filter(F.coalesce(F.map_entries("token_freq"), F.array().cast("array<struct<key:string,value:bigint>>")), lambda e: e["value"] > 0)
-    own = latest.select("stats_id", F.size(F.array_distinct(F.transform(present, lambda e: folded_term(e["key"])))).alias("distinct"))
+    own = sums.where(F.col("kind") == RECORD + "token").select(F.col("term").cast("bigint").alias("stats_id"), F.col("total").alias("distinct"))
     return index.where("unique_terms is not null").join(own, "stats_id").where(F.col("unique_terms") != F.col("distinct")).select("stats_id").distinct()
 
 
 def _frequencies(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    latest = latest_stats(spark.read.parquet(f"{sf_dir}/tokenizer_stats.parquet"))
-    return latest, marked(term_frequencies(entries_of(latest)), latest)
+    sums = partial_sums(latest_stats(spark.read.parquet(f"{sf_dir}/tokenizer_stats.parquet")), "stats_id", MAPS)
+    return sums, marked(term_frequencies(sums), sums.where(F.col("kind") == RECORD + "token"))
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
     """The rare and the common terms, and the stats_id whose unique_terms differ."""
-    latest, terms = _frequencies(spark, sf_dir)
+    sums, terms = _frequencies(spark, sf_dir)
     marks = F.filter(F.array(F.when(F.col("rare"), F.lit("rare")), F.when(F.col("common"), F.lit("common"))), lambda m: m.isNotNull())
     found = terms.where("rare or common").select("kind", "term", F.explode(marks).alias("mark"))
-    wrong = differing_counts(spark.read.parquet(f"{sf_dir}/index_stats.parquet"), latest)
+    wrong = differing_counts(spark.read.parquet(f"{sf_dir}/index_stats.parquet"), sums)
     return found.unionByName(wrong.select(F.lit("unique_terms").alias("kind"), F.col("stats_id").cast("string").alias("term"), F.lit("differs").alias("mark")))
 
 

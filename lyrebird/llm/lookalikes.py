@@ -47,7 +47,7 @@ _SIGNS = {"‐": "-", "‑": "-", "−": "–", "∕": "/", "∶": ":"}
 #: Letters of two of the scripts Latin, Greek and Cyrillic side by side.
 _L, _O = "A-Za-zÀ-ɏḀ-ỿ", "Ͱ-ԯ"
 _MARKS, _SIDES = "[\u0300-\u036f]*", (_L, "\u0370-\u03ff", "\u0400-\u052f")
-MIXED = re.compile("|".join(f"[{a}]{_MARKS}[{b}]" for a in _SIDES for b in _SIDES if a != b))
+MIXED = re.compile("|".join(f"[{a}]{_MARKS}[{''.join(b for b in _SIDES if b != a)}]" for a in _SIDES))
 TOKEN = re.compile(f"[{_L}{_O}̀-ͯ]+")
 #: Tokens whose letters all have twins.
 _ANY = f"{_L}{_O}\u0300-\u036f"
@@ -96,8 +96,6 @@ def repair(token: str) -> str | None:
 
 def mixed_tokens(text: str) -> list[dict]:
     """The distinct mixed-script tokens of a plain text that can be repaired, with the repaired forms."""
-    if not MIXED.search(text):
-        return []
     out = {}
     for token in TOKEN.findall(text):
         if token not in out and MIXED.search(token):
@@ -105,12 +103,12 @@ def mixed_tokens(text: str) -> list[dict]:
     return [{"token": k, "repaired": v} for k, v in out.items() if v is not None]
 
 
-def key_of(form: str) -> str:
+def key_of(form: str, mixed: bool = True) -> str:
     """What texts that look the same have in common: the form with the tokens that repair can't settle in Latin twins. All
-    other tokens count as the repair has left them."""
+    other tokens count as the repair has left them. Not ``mixed``: the form is known to have no mixed token."""
     if form.isascii():
         return form
-    if MIXED.search(form):
+    if mixed and MIXED.search(form):
         form = TOKEN.sub(lambda m: m.group().translate(TO_LATIN) if MIXED.search(m.group()) else m.group(), form)
     return TWINS_ALONE.sub(lambda m: m.group().translate(TO_LATIN), form)
 
@@ -124,14 +122,15 @@ def _plain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             batch = whole.slice(at, 1024)
             texts = batch.column(1).to_pylist()
             forms = [None if t is None else plain(t) for t in texts]
+            mixed = [bool(f) and MIXED.search(f) is not None for f in forms]
             marks = [None if t is None else hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(forms, pa.string()),
                     pa.array(marks, pa.binary()),
-                    pa.array([mixed_tokens(f) if f else [] for f in forms], _MIXED),
-                    pa.array([None if f is None else _look(key_of(f)) for f in forms], pa.binary()),
+                    pa.array([mixed_tokens(f) if m else [] for f, m in zip(forms, mixed)], _MIXED),
+                    pa.array([None if f is None else _look(key_of(f, m)) for f, m in zip(forms, mixed)], pa.binary()),
                 ],
                 names=["doc_id", "plain", "mark", "mixed", "look"],
             )

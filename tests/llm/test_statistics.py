@@ -5,7 +5,7 @@ from collections import Counter
 import pyarrow as pa
 
 from lyrebird.llm.distinctive import global_weights, local_frequencies, log_entropy, telling_words
-from lyrebird.llm.frequencies import TERMS, RadixSpill, differing_counts, entries_of, latest_stats, marked, term_frequencies
+from lyrebird.llm.frequencies import MAPS, RECORD, TERMS, RadixSpill, differing_counts, fold_term, latest_stats, marked, partial_sums, term_frequencies
 
 
 def test_radix_spill(tmp_path):
@@ -49,18 +49,31 @@ def stats(spark):
 
 
 def test_frequencies(spark):
-    latest = latest_stats(stats(spark))
-    rows = marked(term_frequencies(entries_of(latest)), latest).collect()
+    sums = partial_sums(latest_stats(stats(spark)), "stats_id", MAPS)
+    rows = marked(term_frequencies(sums), sums.where(f"kind = '{RECORD}token'")).collect()
     assert {(r.kind, r.term): (r.total, r.records, r.rare, r.common) for r in rows} == {
         ("token", "кот"): (6, 2, False, True), ("token", "ёж"): (4, 1, True, False), ("stem", "кот"): (5, 1, True, False),
     }
     index = spark.createDataFrame([(1, 1), (2, 3), (3, 0), (3, None), (9, 4)], "stats_id bigint, unique_terms bigint")
-    assert [r.stats_id for r in differing_counts(index, latest).collect()] == [2]
+    assert [r.stats_id for r in differing_counts(index, sums).collect()] == [2]
 
 
 def test_frequencies_of_nothing(spark):
-    latest = latest_stats(stats(spark).limit(0))
-    assert term_frequencies(entries_of(latest)).count() == 0
+    sums = partial_sums(latest_stats(stats(spark).limit(0)), "stats_id", MAPS)
+    assert term_frequencies(sums).count() == 0 and sums.count() == 0
+
+
+def test_frequencies_with_spilling(spark):
+    """The same sums whether they fit a task's memory or are spilled level by level."""
+    rows = [(i, {f"t{(i * k) % 97}": k for k in range(1, 40)}) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, m map<string,bigint>")
+    got = [{tuple(r) for r in term_frequencies(partial_sums(df, "id", {"x": "m"}, split_rows=n), split_rows=n).collect()} for n in (10, 500_000)]
+    want = {("x", f"t{t}", sum(k for i in range(200) for k2, k in rows[i][1].items() if k2 == f"t{t}"), sum(f"t{t}" in m for _, m in rows)) for t in range(97)}
+    assert got[0] == got[1] == want
+
+
+def test_folding():
+    assert fold_term(" \u00a0Ёж\n") == "ёж" and fold_term("İ") == "İ"
 
 
 DOCS = [(1, "аа аа бб"), (2, "аа вв"), (3, "аа бб бб бб"), (4, None), (5, "")]
