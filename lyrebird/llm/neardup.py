@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from fractions import Fraction
@@ -20,7 +21,30 @@ def _ceil_share(n: Column, t: Fraction) -> Column:
     return F.floor((n * t.numerator + (t.denominator - 1)) / F.lit(t.denominator))
 
 
-def similar_classes(sets: DataFrame, threshold: Fraction) -> DataFrame:
+#: Every so many-th set, by hash, is looked at to find hot tokens; those in more than that share of them are hot, at most so
+#: many. This only chooses the way a token is counted; all are counted exactly.
+HOT_EVERY, HOT_SHARE, MOST_HOT = 64, 0.01, 100_000
+
+
+def counted_tokens(sets: DataFrame, every: int = HOT_EVERY, share: float = HOT_SHARE) -> DataFrame:
+    """(cls, n, token, df) of the tokens that occur in more than one set, with the number of sets.
+
+    A token of very many sets would be one task's work if rows were brought together by token. Such tokens are found on a
+    sample of the sets, and their rows don't move: each task sums them up, and the sums, one row for a hot token (at most the
+    mean size of a set divided by ``share``, and ``MOST_HOT``), are sent back to all. The rows of the other tokens are dealt by
+    token once, and counted there."""
+    picked = sets.where(F.pmod(F.xxhash64("cls"), F.lit(every)) == 0)
+    least = F.broadcast(picked.agg(F.greatest(F.lit(2.0), F.count("*") * F.lit(share)).alias("least")))  # a single row
+    often = picked.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("k"))
+    hot = staged(often.crossJoin(least).where("k > least").orderBy(F.desc("k"), "token").limit(MOST_HOT).select("token", F.lit(True).alias("hot")), "hot")
+    rows = sets.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(F.broadcast(hot), "token", "left")
+    sums = staged(rows.where("hot").groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "hotsums")
+    common = rows.where("hot").select("cls", "n", "token").join(F.broadcast(sums), "token").select("cls", "n", "token", "df")
+    rest = rows.where("hot is null").select("cls", "n", "token").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    return rest.unionByName(common)
+
+
+def similar_classes(sets: DataFrame, threshold: Fraction, every: int = HOT_EVERY) -> DataFrame:
     """(a, b): pairs of classes, a < b, whose token sets have a Jaccard similarity of at least ``threshold``.
 
     ``sets``: (cls bigint unique, tokens array<bigint> of distinct values, not empty).
@@ -29,14 +53,13 @@ def similar_classes(sets: DataFrame, threshold: Fraction) -> DataFrame:
     among the first ``n - ceil(threshold * n) + 1`` of each. A token that occurs in one set only can't be shared, so
     those, which come first, use up places of the prefix and are then left out of everything else: a set that shares
     little has no prefix left and costs nothing more. Sets of the same size with the same prefix form one group; groups
-    are joined on the tokens of their prefixes with the filters on length and position, and only then are the pairs of
-    groups expanded to their members and verified on the whole sets. A prefix never holds a common token unless the set
+    are joined on the tokens of their prefixes and on a bucket of their sizes (the larger of two similar sets lies in the
+    bucket of the smaller or in the next), with the filters on length and position, and only then are the pairs of groups
+    expanded to their members and verified on the whole sets. A prefix never holds a common token unless the set
     has nothing rarer, and no token, pair or group is left out for its frequency.
     """
     t = threshold
-    spread = sets.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counted = spread.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    ordered = counted.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("df"), F.col("token")))).alias("o"))
+    ordered = counted_tokens(sets, every).groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("df"), F.col("token")))).alias("o"))
     shared = staged(ordered.select("cls", "n", F.transform("o", lambda x: x.token).alias("tokens")), "shared")
 
     alone = F.col("n") - F.size("tokens")
@@ -49,13 +72,15 @@ def similar_classes(sets: DataFrame, threshold: Fraction) -> DataFrame:
     members = staged(grouped.join(groups.select("n", "prefix", "g"), ["n", "prefix"]).select("g", "cls"), "members")
 
     at = groups.select("g", "n", "alone", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("alone")).drop("alone")
-    left = at.select("token", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = at.select("token", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    na, nb = F.col("na"), F.col("nb")
+    bucket = F.floor(F.log("n") / F.lit(math.log(t.denominator / t.numerator)) + F.lit(1e-9)).cast("int") if t < 1 else F.col("n")
+    at = at.withColumn("bucket", bucket)
+    left = at.select("token", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = at.select("token", "bucket", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    na, nb = F.col("na"), F.col("nb")  # the smaller, or of equal ones the first, is on the left
     need = _ceil_share(na + nb, t / (1 + t))
-    room = 1 + F.least(na - F.col("pa"), nb - F.col("pb")) - 1
-    long_enough = F.least(na, nb) * t.denominator >= F.greatest(na, nb) * t.numerator
-    candidates = left.join(right, "token").where((F.col("ga") < F.col("gb")) & long_enough & (room >= need)).select("ga", "gb").distinct()
+    room = F.least(na - F.col("pa"), nb - F.col("pb"))
+    ordered_pair = (na < nb) | ((na == nb) & (F.col("ga") < F.col("gb")))
+    candidates = left.join(right, ["token", "bucket"]).where(ordered_pair & (na * t.denominator >= nb * t.numerator) & (room >= need)).select("ga", "gb").distinct()
 
     ma, mb = members.select(F.col("g").alias("ga"), F.col("cls").alias("x")), members.select(F.col("g").alias("gb"), F.col("cls").alias("y"))
     across = candidates.join(ma, "ga").join(mb, "gb").select("x", "y")
@@ -161,5 +186,28 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
     return pages.select(F.lit("html_content").alias("field"), "page_a", "page_b").unionByName(urls.select(F.lit("url").alias("field"), "page_a", "page_b"))
 
 
-QUERIES = {"p1_found": p1_found}
+def representatives(membership: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same result without the pairs inside classes: (id, representative), the representative being the smallest id with
+    the same text, and (a, b), the similar pairs of representatives, the smaller first."""
+    m = staged(membership, "membership")
+    first = m.groupBy("cls").agg(F.min("id").alias("representative"))
+    of = m.join(first, "cls").select("id", "representative").distinct()
+    a, b = first.select(F.col("cls").alias("a"), F.col("representative").alias("x")), first.select(F.col("cls").alias("b"), F.col("representative").alias("y"))
+    links = classes.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return of, links
+
+
+def p1_classes(spark, sf_dir: str) -> DataFrame:
+    """Every page with an article and every document with URL words, with the representative of its class of equal texts and
+    the number of other classes that are similar to it."""
+    out = []
+    for field, found in (("html_content", similar_articles(spark.read.parquet(f"{sf_dir}/crawled.parquet"))), ("url", similar_urls(spark.read.parquet(f"{sf_dir}/docinfo.parquet")))):
+        of, links = representatives(*found)
+        links = staged(links, "links")
+        degree = links.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
+        out.append(of.join(degree, "representative", "left").select(F.lit(field).alias("field"), F.col("id").alias("page_id"), "representative", F.coalesce("links", F.lit(0)).alias("links")))
+    return out[0].unionByName(out[1])
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
 ORACLE: dict[str, str] = {}

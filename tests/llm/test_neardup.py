@@ -3,7 +3,7 @@ from fractions import Fraction
 
 import pytest
 
-from lyrebird.llm.neardup import id_pairs, near_duplicates, shingles, similar_classes, similar_urls, url_words, word_hashes
+from lyrebird.llm.neardup import counted_tokens, id_pairs, representatives, near_duplicates, shingles, similar_classes, similar_urls, url_words, word_hashes
 
 
 def test_url_words():
@@ -34,6 +34,27 @@ def test_against_brute_force(spark, t, seed):
             sets[len(sets)] = own
     df = spark.createDataFrame([(i, [*s]) for i, s in sets.items()], "cls bigint, tokens array<bigint>")
     assert {tuple(r) for r in similar_classes(df, t).collect()} == brute(sets, t)
+    assert {tuple(r) for r in similar_classes(df, t, every=1).collect()} == brute(sets, t)  # many tokens counted as hot ones
+
+
+def test_a_token_in_every_set(spark):
+    """It is summed up where its rows are: none of them is dealt by token."""
+    rng = random.Random(9)
+    sets = {i: {7, *(rng.randrange(50 + i % 3) + 1000 * (i % 40) for _ in range(12))} for i in range(400)}
+    df = spark.createDataFrame([(i, [*s]) for i, s in sets.items()], "cls bigint, tokens array<bigint>")
+    rows = counted_tokens(df, every=4).collect()
+    assert {(r.cls, r.df) for r in rows if r.token == 7} == {(i, 400) for i in sets}
+    plan = counted_tokens(df, every=4)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "hashpartitioning(token" in x]
+    assert len(dealt) == 1 and "isnull(hot" in plan  # only rows of other tokens
+    assert {tuple(r) for r in similar_classes(df, Fraction(3, 5), every=4).collect()} == brute(sets, Fraction(3, 5))
+
+
+def test_representatives(spark):
+    a, b, c = "a b c d e f g h", "a b c d e f g x", "q r s t u v w y"
+    rows = [(5, a), (2, a), (3, b), (4, c)]
+    of, links = representatives(*near_duplicates(spark.createDataFrame(rows, "id bigint, text string"), word_hashes, Fraction(3, 4)))
+    assert {tuple(r) for r in of.collect()} == {(5, 2), (2, 2), (3, 3), (4, 4)} and [tuple(r) for r in links.collect()] == [(2, 3)]
 
 
 def test_copies_nulls_and_repeats(spark):
