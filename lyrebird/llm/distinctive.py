@@ -16,8 +16,10 @@ def local_frequencies(docs: DataFrame) -> DataFrame:
     No text and no term crosses the network for that. What a doc_id has in several rows is added up afterwards, for those
     ids only."""
     # one projection for each step: an array that a lambda refers to must be a column, or it is made for each element
-    split = docs.where("doc_id is not null").select("doc_id", F.sort_array(tokens("text")).alias("s")).where("size(s) > 0")
-    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    split = docs.where("doc_id is not null").select("doc_id", F.sort_array(tokens("text")).alias("s"))
+    # no filter on the array: it would be made a second time for it
+    numbers = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1))
+    starts = F.filter(numbers, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
     runs = split.select("doc_id", "s", starts.alias("a"))
     counts = F.transform("a", lambda v, k: F.struct(F.get("s", v).alias("term"), (F.coalesce(F.get("a", k + 1), F.size("s")) - v).cast("bigint").alias("tf")))
     rows = staged(runs.select("doc_id", F.inline(counts)), "tf")
