@@ -22,26 +22,25 @@ def _ceil_share(n: Column, t: Fraction) -> Column:
 
 
 #: Every so many-th set, by hash, is looked at to find hot tokens; those in more than that share of them are hot, at most so
-#: many. This only chooses the way a token is counted; all are counted exactly.
+#: many. This only chooses the way its rows are dealt; no token and no row is left out.
 HOT_EVERY, HOT_SHARE, MOST_HOT = 64, 0.01, 100_000
 
 
 def counted_tokens(sets: DataFrame, every: int = HOT_EVERY, share: float = HOT_SHARE) -> DataFrame:
-    """(cls, n, token, df) of the tokens that occur in more than one set, with the number of sets.
+    """(cls, n, token, df) of the tokens that occur in more than one set; df is the number of sets, for hot tokens that number
+    as the sample gives it, which is all that an order of the tokens needs.
 
-    A token of very many sets would be one task's work if rows were brought together by token. Such tokens are found on a
-    sample of the sets, and their rows don't move: each task sums them up, and the sums, one row for a hot token (at most the
-    mean size of a set divided by ``share``, and ``MOST_HOT``), are sent back to all. The rows of the other tokens are dealt by
-    token once, and counted there."""
+    Rows are brought together by token, once. A token of very many sets would make that one task's work. Such tokens are known
+    from a sample of the sets (at most the mean size of a set divided by ``share``, and ``MOST_HOT``, so the list can be sent
+    to all); as three sampled sets or more have them, they aren't alone, and their rows are dealt by set."""
     picked = sets.where(F.pmod(F.xxhash64("cls"), F.lit(every)) == 0)
     least = F.broadcast(picked.agg(F.greatest(F.lit(2.0), F.count("*") * F.lit(share)).alias("least")))  # a single row
     often = picked.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("k"))
-    hot = staged(often.crossJoin(least).where("k > least").orderBy(F.desc("k"), "token").limit(MOST_HOT).select("token", F.lit(True).alias("hot")), "hot")
-    rows = sets.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(F.broadcast(hot), "token", "left")
-    sums = staged(rows.where("hot").groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "hotsums")
-    common = rows.where("hot").select("cls", "n", "token").join(F.broadcast(sums), "token").select("cls", "n", "token", "df")
-    rest = rows.where("hot is null").select("cls", "n", "token").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    return rest.unionByName(common)
+    hot = often.crossJoin(least).where("k > least").orderBy(F.desc("k"), "token").limit(MOST_HOT).select("token", (F.col("k") * every).alias("about"))
+    rows = sets.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(F.broadcast(staged(hot, "hot")), "token", "left")
+    dealt = Window.partitionBy("token", F.when(F.col("about").isNotNull(), F.col("cls")))
+    counted = rows.withColumn("df", F.coalesce("about", F.count(F.lit(1)).over(dealt)))
+    return counted.where("df > 1").select("cls", "n", "token", "df")
 
 
 def similar_classes(sets: DataFrame, threshold: Fraction, every: int = HOT_EVERY) -> DataFrame:
