@@ -91,8 +91,15 @@ def html_escape(c: Column | str) -> Column:
 
 
 def url_decode(c: Column | str) -> Column:
-    """%XX and + decoded; a text with a malformed escape stays as it is."""
-    return F.coalesce(F.try_url_decode(_col(c)), _col(c))
+    """%XX and + decoded. A per cent sign followed by two characters of which only the first is a hexadecimal digit stands,
+    with both, for the character of that number; one followed by anything else, or by fewer than two, stays."""
+    parts = F.regexp_extract_all(_col(c), F.lit(r"(?s)%[0-9A-Fa-f]{2}|%[0-9A-Fa-f][^0-9A-Fa-f]|%|[^%]+"), F.lit(0))
+    known = F.transform(
+        parts,
+        lambda x: F.when(x.rlike("^%[0-9A-Fa-f]{2}$") | ~F.startswith(x, F.lit("%")), x).when(F.char_length(x) == 1, F.lit("%25")).otherwise(F.concat(F.lit("%0"), F.substring(x, 2, 1))),
+    )
+    plain = ~F.contains(_col(c), F.lit("%"))
+    return F.when(plain, F.translate(_col(c), "+", " ")).otherwise(F.coalesce(F.try_url_decode(F.array_join(known, "")), _col(c)))
 
 
 def content_hash(c: Column | str) -> Column:

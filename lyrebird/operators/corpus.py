@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,13 +91,22 @@ def mandelbrot_fit(ranks: DataFrame, window: int = 1000) -> DataFrame:
     """One row (b, rho, p, error): the grid point of least mean squared difference of the logarithms (plus one) over the
     first ``window`` ranks, the first in grid order among equals. The scale uses all ranks.
 
-    The grid of 280 points stands in the plan. The sums over all ranks are 280 partial aggregates in one pass; then only
-    ``window`` ranks meet the grid."""
+    The sums over all ranks, one for each of the 280 grid points, are made batch by batch in NumPy, one row of sums for each
+    task; those few rows are added up, and then only ``window`` ranks meet the grid."""
     points = grid()
     spark = ranks.sparkSession
-    sums = ranks.agg(F.array(*(F.sum(F.pow(F.col("rank") + F.lit(r), F.lit(-b))) for b, r in points)).alias("_norms"), F.sum("cnt").cast("double").alias("_all"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms, total = np.zeros(len(points)), 0.0
+        for batch in batches:
+            rank = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            norms += [np.power(rank + rho, -b).sum() for b, rho in points]
+            total += batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(points)), pa.int32()), pa.array(norms), pa.array([total] * len(points))], names=["i", "_norm", "_all"])
+
     listed = F.broadcast(spark.createDataFrame([(i, b, r) for i, (b, r) in enumerate(points)], "i int, b double, rho double"))
-    norms = sums.select(F.posexplode("_norms").alias("i", "_norm"), "_all").join(listed, "i")
+    partial = ranks.select("rank", "cnt").mapInArrow(sums, "i int, _norm double, _all double")
+    norms = partial.groupBy("i").agg(F.sum("_norm").alias("_norm"), F.sum("_all").alias("_all")).join(listed, "i")
     near = ranks.where(F.col("rank") <= window).select("rank", "cnt")
     theory = F.pow(F.col("rank") + F.col("rho"), -F.col("b")) / F.col("_norm") * F.col("_all")
     gap = F.log(F.col("cnt") + 1) - F.log(theory + 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.robotparser import RobotFileParser
 
@@ -86,26 +86,45 @@ def restored_queue(store: DataFrame, now: int, days: int = 7, source: str | None
     return _due(once.select(F.col("link").alias("url"), "source_name", F.lit(1).alias("depth")), visited(store), now, days)
 
 
+PAGE = ("html_content", "source_name", "crawl_date", "content_hash")
+
+
+def _ahead(rows: DataFrame) -> DataFrame:
+    """The rows of a url with what settles which of them counts: the latest date, then the larger hash, then, should that not
+    be of the content, the content's own, then the source name that sorts last."""
+    own = F.xxhash64("html_content").alias("own")
+    return rows.where("url is not null").select("url", F.struct("crawl_date", "content_hash", own, "source_name").alias("ahead"), *PAGE)
+
+
+def _winners(rows: DataFrame) -> DataFrame:
+    """(url, ahead, n): each url's row that counts, without its content, and how many equal ones there are."""
+    counted = rows.groupBy("url", "ahead").agg(F.count("*").alias("n"))
+    return counted.groupBy("url").agg(F.max(F.struct("ahead", "n")).alias("w")).select("url", "w.ahead", "w.n")
+
+
 def upsert(store: DataFrame, crawl: DataFrame) -> DataFrame:
     """The store after a crawl, with what happened to each URL: inserted, replaced, dated (unchanged content, new date
     only) or kept. Both sides: url, html_content, source_name, crawl_date, content_hash. Of several fetches of a URL the
-    latest counts, then the larger hash; of several stored rows too. Rows of null url are left out."""
+    latest counts, then the larger hash; of several stored rows too. Rows of null url are left out.
 
-    def last(df: DataFrame) -> DataFrame:
-        rows = df.where("url is not null").select("url", F.struct("crawl_date", "content_hash", "html_content", "source_name").alias("d"))
-        return rows.groupBy("url").agg(F.max("d").alias("d"))
+    What happens is settled on narrow rows (url, date, hash). Only the rows that end up in the store are then looked up with
+    their content, once; they are grouped only where equal rows repeat."""
+    old, new = _ahead(store), _ahead(crawl)
+    before = _winners(old).select("url", F.col("ahead").alias("o"), F.col("n").alias("on"))
+    after = _winners(new).select("url", F.col("ahead").alias("f"), F.col("n").alias("fn"))
+    same = F.coalesce(F.col("o.content_hash") == F.col("f.content_hash"), F.lit(False))
+    action = F.when(F.col("f").isNull(), "kept").when(F.col("o").isNull(), "inserted").when(same, "dated").otherwise("replaced")
+    date = F.when(F.col("f").isNull(), F.col("o.crawl_date")).otherwise(F.col("f.crawl_date"))
+    settled = staged(before.join(after, "url", "full_outer").select("url", action.alias("action"), date.alias("date"), "o", "on", "f", "fn"), "settled")
 
-    old, new = last(store).select("url", F.col("d").alias("o")), last(crawl).select("url", F.col("d").alias("n"))
-    both = old.join(new, "url", "full_outer")
-    same = F.col("o.content_hash") == F.col("n.content_hash")
-    action = F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "inserted").when(F.coalesce(same, F.lit(False)), "dated").otherwise("replaced")
-    full = both.withColumn("action", action)
+    def taken(rows: DataFrame, own: str, n: str, actions: list[str]) -> DataFrame:
+        wanted = settled.where(F.col("action").isin(actions)).select("url", F.col(own).alias("ahead"), F.col(n).alias("n"), "action", "date")
+        found = rows.join(wanted, ["url", "ahead"])
+        several = found.where("n > 1").dropDuplicates(["url"])
+        both = found.where("n = 1").unionByName(several)
+        return both.select("url", "html_content", "source_name", F.col("date").alias("crawl_date"), "content_hash", "action")
 
-    def pick(name: str) -> Column:
-        return F.when(F.col("action").isin("inserted", "replaced"), F.col(f"n.{name}")).otherwise(F.col(f"o.{name}")).alias(name)
-
-    date = F.when(F.col("action") == "kept", F.col("o.crawl_date")).otherwise(F.col("n.crawl_date")).alias("crawl_date")
-    return full.select("url", pick("html_content"), pick("source_name"), date, pick("content_hash"), "action")
+    return taken(old, "o", "on", ["kept", "dated"]).unionByName(taken(new, "f", "fn", ["inserted", "replaced"]))
 
 
 def fetch_action(status: Column, attempt: Column, tries: int = 3) -> Column:
@@ -133,22 +152,24 @@ def allowed(urls: DataFrame, robots: DataFrame, agent: str = "*", respect: bool
     if not respect:
         return rows.withColumn("allowed", article | ~closed).drop("_domain")
 
-    @F.pandas_udf(T.BooleanType())
-    def may(url: pd.Series, text: pd.Series) -> pd.Series:
+    def gate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parsers: dict[str, RobotFileParser] = {}
-        out = []
-        for u, t in zip(url, text):
-            if t is None:
-                out.append(True)
-                continue
-            if t not in parsers:
-                parsers[t] = RobotFileParser()
-                parsers[t].parse(t.splitlines())
-            out.append(parsers[t].can_fetch(agent, u or ""))
-        return pd.Series(out, dtype="bool")
-
-    joined = rows.join(robots.select(F.col("domain").alias("_domain"), "robots_txt"), "_domain", "left")
-    return joined.withColumn("allowed", article | (~closed & may("url", "robots_txt"))).drop("_domain", "robots_txt")
+        for frame in frames:
+            out = []
+            for url, rules in zip(frame["url"], frame["robots_txt"]):
+                parser = parsers.get(rules)
+                if parser is None:
+                    parser = parsers[rules] = RobotFileParser()
+                    parser.parse(rules.splitlines())
+                out.append(parser.can_fetch(agent, url))
+            yield pd.DataFrame({"url": frame["url"], "may": out})
+
+    # rules are held against the distinct URLs that they can decide; articles and closed paths need none, nor do hosts without
+    ruled = robots.where("robots_txt is not null").select(F.col("domain").alias("_domain"), "robots_txt")
+    asked = rows.where(~article & ~closed & F.col("url").isNotNull()).select("url", "_domain").distinct().join(ruled, "_domain")
+    barred = staged(asked.select("url", "robots_txt").mapInPandas(gate, "url string, may boolean").where("not may").select("url", F.lit(True).alias("_barred")), "barred")
+    joined = rows.join(barred, "url", "left")
+    return joined.withColumn("allowed", article | (~closed & F.col("_barred").isNull())).select(*urls.columns, "allowed")
 
 
 def breadth_first(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_depth: int = 3, max_pages: int = 0) -> DataFrame:
@@ -156,22 +177,30 @@ def breadth_first(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], max
 
     ``start``: (url, source_name); ``fetch`` turns (url, source_name, depth) into (url, html_content) of the pages it
     gets. A page's links are followed only while its depth is below ``max_depth``; each URL is fetched once, whether or
-    not that worked. ``max_pages`` ends the crawl after that many pages (0: no end), lower URLs of a level first. Each
-    level is kept as a table, so that the plan stays flat; the number of levels is bounded by ``max_depth``."""
-    level = staged(start.select(normalize_url("url").alias("url"), "source_name", F.lit(0).alias("depth")).groupBy("url", "depth").agg(F.min("source_name").alias("source_name")), "level")
-    seen, done = level.select("url"), level
+    not that worked. ``max_pages`` ends the crawl after that many pages (0: no end), lower URLs of a level first: those
+    beyond aren't fetched. Each level is kept as a table, so that the plan stays flat; the number of levels is bounded by
+    ``max_depth``."""
+
+    def cut(level: DataFrame, room: int) -> DataFrame:
+        return level.orderBy("url").limit(room) if max_pages else level
+
+    first = start.select(normalize_url("url").alias("url"), "source_name", F.lit(0).alias("depth")).groupBy("url", "depth").agg(F.min("source_name").alias("source_name"))
+    level = staged(cut(first, max_pages), "level")
+    seen, done, left = level.select("url"), level, max_pages
     for depth in range(max_depth):
+        left -= level.count() if max_pages else 0
+        if max_pages and left <= 0:
+            break
         pages = fetch(level)
         found = links(pages).where((domain("link") == domain("url")) & ~is_closed_path("link"))
         next_ = found.join(level.select("url", "source_name"), "url").groupBy("link").agg(F.min("source_name").alias("source_name"))
         fresh = next_.select(F.col("link").alias("url"), F.lit(depth + 1).alias("depth"), "source_name").join(seen, "url", "left_anti")
-        level = staged(fresh, "level")
+        level = staged(cut(fresh, left), "level")
         if level.isEmpty():
             break
         seen = staged(seen.unionByName(level.select("url")), "seen")
         done = done.unionByName(level)
-    out = done.select("url", "source_name", "depth")
-    return out.orderBy("depth", "url").limit(max_pages) if max_pages else out
+    return done.select("url", "source_name", "depth")
 
 
 def crawl_stats(pages: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,22 +48,39 @@ class Index:
 
 
 def page_texts(pages: DataFrame, key: str = "page_id", html: str = "html_content", url: str = "url", limit: int | None = None) -> DataFrame:
-    """(doc_id, key, title, url, text, toks) of each page with html. ``limit`` counts pages before empty ones are left
-    out. Null urls become ''."""
+    """(doc_id, key, title, url, text, toks) of each page with html, by ascending key. ``limit`` counts pages before empty
+    ones are left out. Null urls become ''.
+
+    The pages are extracted once, into a table. The ids are given to narrow rows of it (the key, a hash of the rest and the
+    row's number), so that no text is sorted or moved to be counted, and then joined back by the row's number."""
     read = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     if limit is not None:
         read = read.orderBy("key").limit(limit)
     dealt = spread(read.where("html <> ''"))
     text = dealt.select("key", "url", extract_title("html").alias("title"), extract_text("html").alias("text"))
-    with_tokens = text.withColumn("toks", tokens("text"))
-    return dense_ids(with_tokens, "key")
-
-
-def build(pages: DataFrame, key: str = "page_id", html: str = "html_content", url: str = "url", limit: int | None = None) -> Index:
-    """The index of a corpus. The tokenised pages are kept as one table that documents, postings and statistics read."""
+    extracted = staged(text.withColumn("toks", tokens("text")).withColumn("row", F.monotonically_increasing_id()), "extracted")
+    ids = dense_ids(extracted.select("key", F.xxhash64("url", "title", "text").alias("rest"), "row"), "key").select("row", "doc_id")
+    return extracted.join(staged(ids, "ids").hint("shuffle_hash"), "row").select("doc_id", "key", "title", "url", "text", "toks")
+
+
+def build(
+    pages: DataFrame,
+    key: str = "page_id",
+    html: str = "html_content",
+    url: str = "url",
+    limit: int | None = None,
+    progress: Callable[[str], None] | None = None,
+) -> Index:
+    """The index of a corpus. The tokenised pages are kept as one table that documents and statistics read; the postings as
+    another, ranged and sorted by term, so that a search reads only the parts of its files that its terms lie in.
+    ``progress`` is told what is done."""
+    tell = progress or (lambda what: None)
     texts = staged(page_texts(pages, key, html, url, limit), "texts")
+    tell("pages tokenised")
     docs = texts.select("doc_id", "title", "url", "key")
-    postings = texts.select(F.explode(F.array_distinct("toks")).alias("term"), "doc_id")
+    pairs = texts.select(F.explode(F.array_distinct("toks")).alias("term"), "doc_id")
+    postings = staged(pairs.repartitionByRange("term"), "postings", by=["term", "doc_id"])
+    tell("postings sorted")
     return Index(docs, postings, index_stats(texts, postings))
 
 

@@ -12,9 +12,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset, as in tests, a temporary one is made and set."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one is made and set if all of Spark runs on this
+    machine, as in tests; on a cluster that would be a folder which others can't read, so that raises RuntimeError."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="lyrebird-")
         spark.conf.set("spark.checkpoint.dir", folder)
         _written.append((spark, folder))

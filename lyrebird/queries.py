@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lyrebird import fixtures
 from lyrebird.functions import url as U
 from lyrebird.functions.stem import stem_sql, stemmed
 from lyrebird.functions.text import LOWER, STOP_WORDS, UPPER, content_hash, extract_text, extract_title, html_escape, tokens, url_decode
@@ -13,7 +14,9 @@ from lyrebird.operators import search as S
 from lyrebird.operators.index import Index, build
 from lyrebird.plans.query import parse, set_sql
 from lyrebird.plans.staging import shared_path, staged
-from lyrebird.sources.index_store import open_index, write_index
+from lyrebird.operators.crawler import crawl as run_crawl
+from lyrebird.sources.index_store import open_index, read_documents, write_index
+from lyrebird.sources.reports import write_rank_table
 from lyrebird.streaming.ingest import Store, ingest, read_landing
 
 #: Pages fetched from here on are the new crawl, those before it the store.
@@ -52,6 +55,13 @@ def index(spark: SparkSession, sf: str) -> Index:
     return _indexes[key]
 
 
+def _build(spark: SparkSession, sf: str) -> DataFrame:
+    """A new index, which the other queries then use, and its statistics."""
+    key = (spark.sparkContext.applicationId, sf)
+    _indexes[key] = build(_pages(spark, sf))
+    return _indexes[key].stats
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """A nested Boolean search over a new index of the crawled pages."""
     return S.matches(build(_pages(spark, sf)), QUERY["search_or"])
@@ -102,6 +112,68 @@ def _bfs(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.breadth_first(start, lambda level: store.join(level.select("url"), "url", "left_semi").select("url", "html_content"), max_depth=2)
 
 
+def _crawl_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The figures of the crawl of ``crawl_bfs``: links that lead out of the store fail."""
+    return crawl.crawl_stats(_bfs(spark, sf), _pages(spark, sf).where(F.length("html_content") > 0).select(U.normalize_url("url").alias("url")))
+
+
+def _url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.createDataFrame([(u,) for u, *_ in fixtures.URLS], "url string")
+    return df.select("url", U.is_file("url").alias("file"), U.is_article("url").alias("article"), U.is_closed_path("url").alias("closed"))
+
+
+def _escapes(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(t,) for t, _ in fixtures.ESCAPES], "text string").select("text", url_decode("text").alias("decoded"))
+
+
+def _gates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(u, r) for u, r, _ in fixtures.GATES], "url string, respect boolean")
+    robots = spark.createDataFrame([(h, fixtures.ROBOTS) for h in ("music.example", "en.wikipedia.org", "ru.wikipedia.org")], "domain string, robots_txt string")
+    strict, loose = (crawl.allowed(rows.where(F.col("respect") == F.lit(r)), robots, respect=r) for r in (True, False))
+    return strict.unionByName(loose)
+
+
+def _responses_rules(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.createDataFrame([(s, a) for s, a, *_ in fixtures.RESPONSES], "status int, attempt int")
+    return df.select("status", "attempt", crawl.fetch_action(F.col("status"), F.col("attempt")).alias("action"), crawl.retry_wait(F.col("status"), F.col("attempt")).alias("wait"))
+
+
+def _delays(spark: SparkSession, sf: str) -> DataFrame:
+    found = None
+    for configured in sorted({c for _, c, _ in fixtures.DELAYS}):
+        df = spark.createDataFrame([(a, c) for a, c, _ in fixtures.DELAYS if c == configured], "asked double, configured double")
+        part = df.select("asked", "configured", crawl.crawl_delay(F.col("asked"), configured).alias("delay"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _run_crawl(spark: SparkSession, sf: str) -> DataFrame:
+    """A crawl of the small web from settings to store, without waiting."""
+    store = Store(spark, shared_path(spark, "crawl"), parts=4)
+    logic = {"sources": [{"name": "h", "url": "HTTP://h/s#top"}], "max_depth": 3, "max_pages": 0, "recheck_interval_days": 7}
+    counts = run_crawl(spark, logic, store, fixtures.web, sleep=lambda s: None)
+    figures = [F.lit(counts[k]).cast("bigint").alias(k) for k in ("asked", "failed", "barred")]
+    return store.current().select("url", "source_name", F.col("content_hash"), *figures)
+
+
+def _trees(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(q, str(parse(q))) for q, _ in fixtures.TREES], "query string, tree string")
+
+
+def _rank_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of a rank table written and read again."""
+    path = shared_path(spark, "ranktable")
+    write_rank_table(_ranks(spark, sf), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def _imported(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages written as JSON lines and read as documents."""
+    path = shared_path(spark, "documents") + ".jsonl"
+    _pages(spark, sf).select("url", "html_content").write.json(path)
+    return read_documents(spark, path).select("url", content_hash("html_content").alias("hash"))
+
+
 def _freq(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.token_frequencies(_pages(spark, sf))
 
@@ -177,6 +249,7 @@ QUERIES = {
     "postings": lambda s, d: index(s, d).postings,
     "inverted_index": _inverted,
     "inverted_blocks": lambda s, d: index(s, d).blocks(100).select("term", "block", "df", F.array_join(F.transform("postings", lambda x: x.cast("string")), " ").alias("postings")),
+    "index_build": _build,
     "index_stats": lambda s, d: index(s, d).stats,
     **{name: _search(name) for name in QUERY},
     "search_by_sets": _by_sets,
@@ -188,6 +261,11 @@ QUERIES = {
     "search_stored": _stored_lookup,
     "search_log": _responses,
     "top_tokens": lambda s, d: corpus.top(_freq(s, d), 100),
+    "top_stems": lambda s, d: corpus.top(corpus.stem_frequencies(_freq(s, d)), 100, "stem"),
+    "rank_table": _rank_table,
+    "query_trees": _trees,
+    "document_count": lambda s, d: _pages(s, d).agg(F.count("*").alias("documents")),
+    "documents_imported": _imported,
     "rank_frequency": lambda s, d: corpus.ranked(_freq(s, d)),
     "zipf_theoretical": lambda s, d: corpus.zipf(_ranks(s, d)).select("rank", F.round("theoretical", 4).alias("theoretical")),
     "mandelbrot_theoretical": lambda s, d: corpus.mandelbrot(_ranks(s, d)).select("rank", F.round("theoretical", 4).alias("theoretical")),
@@ -209,6 +287,13 @@ QUERIES = {
     "crawl_seeds": lambda s, d: crawl.seeds(_t(s, d, "sources"), _pages(s, d), NOW),
     "crawl_frontier": _frontier,
     "crawl_bfs": _bfs,
+    "crawl_stats": _crawl_stats,
+    "crawl_run": _run_crawl,
+    "crawl_gates": _gates,
+    "crawl_delays": _delays,
+    "fetch_outcomes": _responses_rules,
+    "url_rules": _url_rules,
+    "url_escapes": _escapes,
 }
 
 _V = f"'{UPPER}', '{LOWER}'"
@@ -254,6 +339,43 @@ _GRID = ", ".join(f"({i}, {b!r}::double, {r!r}::double)" for i, (b, r) in enumer
 _ZIPF = "select rank, cnt, sum(cnt) over () / sum(1.0 / rank::double) over () / rank::double as theoretical from ranks"
 
 
+def _literal(value: object) -> str:
+    if value is None:
+        return "null"
+    if isinstance(value, bool | int | float):
+        return repr(value).lower()
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """The rows as a table of fixed values."""
+    return "select * from (values " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") t({columns})"
+
+
+def _contains(where: str, parts: list[str]) -> str:
+    return "(" + " or ".join(f"contains({where}, {_literal(x)})" for x in parts) + ")"
+
+
+def _either(parts: list[str]) -> str:
+    return f"({_contains('url', parts)} or {_contains('d', parts)})"
+
+
+_GENERAL = " or ".join([_either([x for x in U.CLOSED if x not in U.CLOSED_BUT])] + [f"({_either([x])} and not {_contains('url', but)})" for x, but in U.CLOSED_BUT.items()])
+_KINDS = f"""with urls as (select page_id, url, url_decode(url) as d, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) as host from crawled where url is not null),
+ruled as (select *, regexp_matches(lower(url), '[.]({_ENDINGS})') or regexp_matches(url, '/(File|Файл):|/wiki/(Media|Медиа):') as file,
+  contains(host, 'wikipedia.org') and ({_GENERAL} or (contains(host, 'ru.wikipedia.org') and ({_either(U.CLOSED_RU)} or (contains(d, '{U.PROJECT}') and not {_contains('d', U.PROJECT_OPEN)})))) as closed from urls)
+select page_id, file, contains(host, 'wikipedia.org') and not file and not closed and contains(url, '/wiki/') and not {_either(U.NO_ARTICLE)} as article, closed from ruled"""
+_BFS = _LINKS + f""", {_NORMAL.format(source="pages").replace("parts as", "parts3 as").replace("from parts)", "from parts3)").replace("cut as", "cut3 as").replace("from cut)", "from cut3)").replace("normal as", "stored as")},
+l0 as (select norm as url, min(source_name) as source_name from stored where norm <> '' group by 1),
+edges as (select s.norm as url, l.link from links l join stored s using (page_id)
+  where s.norm <> '' and lower(regexp_extract(l.link, '^[^:/?#]+://([^/?#]*)', 1)) = lower(regexp_extract(s.norm, '^[^:/?#]+://([^/?#]*)', 1))),
+l1 as (select link as url, min(source_name) as source_name from edges join l0 using (url) where link not in (select url from l0) group by 1),
+l2 as (select link as url, min(source_name) as source_name from edges join l1 using (url) where link not in (select url from l0) and link not in (select url from l1) group by 1),
+bfs as (select url, source_name, 0::int as depth from l0 union all select url, source_name, 1 from l1 union all select url, source_name, 2 from l2)
+"""
+_BFS = _BFS.replace("with hrefs as", "with pages as (select * from crawled where html_content <> ''), hrefs as", 1)
+
+
 def _found_sql(query: str) -> str:
     return _INDEX + f"select doc_id, title, url from docs where doc_id in ({set_sql(parse(query))})"
 
@@ -266,6 +388,10 @@ b as (select coalesce(o.url, n.url) as url, case when n.url is null then 'kept'
 select url, action, case action when 'kept' then od else nd end as crawl_date, case when action in ('inserted', 'replaced') then nh else oh end as content_hash,
   case when action in ('inserted', 'replaced') then ns else os end as source_name from b"""
 
+_STATS = _INDEX + """select (select count(*) from toks) as total_documents, (select sum(len(t))::bigint from toks) as total_tokens,
+  (select sum(strlen(text))::bigint from toks) as total_text_bytes, (select count(distinct term) from postings) as unique_terms,
+  (select count(*) from postings) as total_postings, (select round(avg(strlen(term)), 6) from (select distinct term from postings)) as avg_term_length"""
+
 ORACLE = {
     "extract_text": f"select page_id, {_TEXT.format('html_content')} as text from crawled",
     "extract_title": f"with {_TITLE} select page_id, title from titles",
@@ -279,9 +405,8 @@ ORACLE = {
     "postings": _INDEX + "select term, doc_id from postings",
     "inverted_index": _INDEX + "select term, count(*) as df, string_agg(doc_id::varchar, ' ' order by doc_id) as postings from postings group by 1",
     "inverted_blocks": _INDEX + "select term, doc_id // 100 as block, count(*) as df, string_agg(doc_id::varchar, ' ' order by doc_id) as postings from postings group by all",
-    "index_stats": _INDEX + """select (select count(*) from toks) as total_documents, (select sum(len(t))::bigint from toks) as total_tokens,
-  (select sum(strlen(text))::bigint from toks) as total_text_bytes, (select count(distinct term) from postings) as unique_terms,
-  (select count(*) from postings) as total_postings, (select round(avg(strlen(term)), 6) from (select distinct term from postings)) as avg_term_length""",
+    "index_build": _STATS,
+    "index_stats": _STATS,
     **{name: _found_sql(q) for name, q in QUERY.items()},
     "search_by_sets": _found_sql(QUERY["search_nested"]),
     "search_stored": _found_sql(QUERY["search_and"]),
@@ -308,7 +433,21 @@ select (select count(*) from crawled) as total_documents, (select sum(strlen(htm
     "stem_freq": _FREQ + f", {stem_sql('freq', 'token')} select stem, sum(cnt)::bigint as cnt from freq join stems on token = word group by 1",
     "url_decoded": "select doc_id, url_decode(replace(url, '+', ' ')) as url from docinfo",
     "url_normalize": f"with {_NORMAL.format(source='crawled')} select page_id, norm, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) as domain, coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+'), false) as valid from normal",
-    "url_kinds": f"select page_id, regexp_matches(lower(url), '[.]({_ENDINGS})') or regexp_matches(url, '/(File|Файл):|/wiki/(Media|Медиа):') as file, false as article, false as closed from crawled where url is not null and not contains(url, 'wikipedia.org')",
+    "url_kinds": _KINDS,
+    "url_rules": _values(fixtures.URLS, "url, file, article, closed"),
+    "url_escapes": _values(fixtures.ESCAPES, "text, decoded"),
+    "crawl_gates": _values(fixtures.GATES, "url, respect, allowed"),
+    "fetch_outcomes": "select status::int as status, attempt::int as attempt, action, wait::double as wait from (" + _values(fixtures.RESPONSES, "status, attempt, action, wait") + ")",
+    "crawl_delays": "select asked::double as asked, configured::double as configured, delay::double as delay from (" + _values(fixtures.DELAYS, "asked, configured, delay") + ")",
+    "crawl_run": "select url, 'h' as source_name, sha256(html) as content_hash, 6::bigint as asked, 1::bigint as failed, 1::bigint as barred from ("
+    + _values([(u, fixtures.web(u)[1]) for u in fixtures.REACHED], "url, html") + ")",
+    "query_trees": _values(fixtures.TREES, "query, tree"),
+    "crawl_bfs": _BFS + "select url, source_name, depth from bfs",
+    "crawl_stats": _BFS + "select count(*) as crawled, count(*) as saved, count(*) filter (where url not in (select norm from stored)) as failed from bfs",
+    "document_count": "select count(*) as documents from crawled",
+    "documents_imported": "select coalesce(url, '') as url, sha256(coalesce(html_content, '')) as hash from crawled",
+    "rank_table": _RANKS + "select '# Rank\tFrequency\tTerm' as line union all select rank || chr(9) || cnt || chr(9) || token from ranks",
+    "top_stems": _FREQ + f", {stem_sql('freq', 'token')}, summed as (select stem, sum(cnt)::bigint as cnt from freq join stems on token = word group by 1) select row_number() over (order by cnt desc, stem) as rank, stem, cnt from summed order by cnt desc, stem limit 100",
     "link_graph": _LINKS + "select page_id, link from links",
     "same_domain_links": _LINKS + "select page_id, count(*) as links from links where lower(regexp_extract(link, '^[^:/?#]+://([^/?#]*)', 1)) = lower(regexp_extract(page, '^[^:/?#]+://([^/?#]*)', 1)) group by 1",
     "crawl_seeds": f"with {_NORMAL.format(source='sources')}, {_FRESH} select norm as url, name as source_name, 0::int as depth from normal where enabled and norm not in (select url from fresh)",

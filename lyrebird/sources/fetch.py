@@ -7,6 +7,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from urllib.parse import quote, urlsplit, urlunsplit
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,31 +53,68 @@ def fetch_pages(
     tries: int = 3,
     hosts_at_once: int = 64,
     sleep: Callable[[float], None] = time.sleep,
+    clock: Callable[[], float] = time.monotonic,
 ) -> DataFrame:
     """(url, source_name, depth, status, html_content, crawl_date) of the wanted pages (url, source_name, depth), with
     null html where fetching failed.
 
-    Pages are dealt by host, so that one task alone talks to a host and keeps its delay; the dealing is kept as it is
-    (``hosts_at_once`` tasks). ``delays``: seconds by host, never below 5."""
-    slow = {h: max(s, MIN_DELAY) for h, s in (delays or {}).items()}
-    usual = max(delay, MIN_DELAY)
+    Pages are dealt by host, so that one task alone talks to a host; the dealing is kept as it is (``hosts_at_once`` tasks).
+    A task knows when it last asked each of its hosts, over all of its batches, and waits only for what is left of that
+    host's delay; a retry waits for that too, and for its own time. ``delays``: seconds by host, or a column ``delay`` of the
+    wanted pages; never below 5."""
+    slow, usual = {h: max(s, MIN_DELAY) for h, s in (delays or {}).items()}, max(delay, MIN_DELAY)
+    own_delay = F.col("delay").cast("double") if "delay" in wanted.columns else F.lit(None).cast("double")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[str, float] = {}
+
+        def wait(host: str, seconds: float) -> None:
+            if host in last and (rest := last[host] + seconds - clock()) > 0:
+                sleep(rest)
+            last[host] = clock()
+
         for frame in frames:
             rows = []
-            for n, r in enumerate(frame.sort_values("host").itertuples(index=False)):
-                if n:
-                    sleep(slow.get(r.host, usual))
-                status, text = None, None
+            for r in frame.itertuples(index=False):
+                each = slow.get(r.host, usual if pd.isna(r.own_delay) else max(float(r.own_delay), MIN_DELAY))
+                pause = each
                 for attempt in range(1, tries + 1):
+                    wait(r.host, pause)
                     status, text = get(r.url)
                     what = outcome(status, attempt, tries)
                     if what != "retry":
                         break
-                    sleep(5.0 * attempt if status == 429 else max(MIN_DELAY, 2.0 * attempt))
+                    pause = max(each, 5.0 * attempt if status == 429 else max(MIN_DELAY, 2.0 * attempt))
                 rows.append((r.url, r.source_name, r.depth, status, text if what == "ok" else None, int(time.time())))
             out = pd.DataFrame(rows, columns=["url", "source_name", "depth", "status", "html_content", "crawl_date"])
             yield out.astype({"status": "Int32"})
 
-    dealt = wanted.select("url", "source_name", "depth", domain("url").alias("host")).repartition(hosts_at_once, F.col("host"))
-    return dealt.mapInPandas(run, SCHEMA)
+    dealt = wanted.select("url", "source_name", "depth", domain("url").alias("host"), own_delay.alias("own_delay")).repartition(hosts_at_once, F.col("host"))
+    return dealt.sortWithinPartitions("host", "url").mapInPandas(run, SCHEMA)
+
+
+def fetch_robots(hosts: DataFrame, get: Callable[[str], tuple[int | None, str | None]] = http_get, agent: str = "*", hosts_at_once: int = 64) -> DataFrame:
+    """(domain, robots_txt, delay) for each of the hosts (scheme, domain): the text, null if there is none, and the seconds it
+    asks for between requests, null if it names none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                status, text = get(f"{r.scheme}://{r.domain}/robots.txt")
+                text = text if status == 200 else None
+                rows.append((r.domain, text, robots_delay(text, agent)))
+            yield pd.DataFrame(rows, columns=["domain", "robots_txt", "delay"]).astype({"delay": "Float64"})
+
+    once = hosts.groupBy("domain").agg(F.min("scheme").alias("scheme")).select("scheme", "domain")
+    return once.repartition(hosts_at_once, F.col("domain")).mapInPandas(run, "domain string, robots_txt string, delay double")
+
+
+def robots_delay(text: str | None, agent: str = "*") -> float | None:
+    """The seconds that a robots.txt asks ``agent`` to wait; None if it doesn't say."""
+    if not text:
+        return None
+    parser = RobotFileParser()
+    parser.parse(text.splitlines())
+    found = parser.crawl_delay(agent)
+    return None if found is None else float(found)

@@ -7,6 +7,7 @@ import struct
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
     lookups push their terms down to the files."""
     try:
         meta = spark.read.schema("format string, version int").json(f"{path}/meta").first()
-    except Exception as e:
+    except AnalysisException as e:  # there is no such folder; what else goes wrong isn't taken for that
         raise ValueError(f"no index at {path}") from e
     if meta is None or meta["format"] != FORMAT or meta["version"] != VERSION:
         raise ValueError(f"no index of this format at {path}")
@@ -87,7 +88,8 @@ def _read(path: str) -> Iterator[tuple]:
 
 
 def read_binary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(docs, postings) of a binary file on a path of the driver. ValueError if the marker is wrong."""
+    """(docs, postings) of a binary file on a path of the driver, through whose memory it goes: a format for exchange, not for
+    corpora. ValueError if the marker is wrong."""
     docs, lists = [], []
     for row in _read(path):
         (docs if row[0] == "doc" else lists).append(row[1:])
@@ -106,7 +108,7 @@ def load_config(path: str) -> dict:
 
         config = yaml.safe_load(text) or {}
     db = {"host": "localhost", "port": 27017, "database": "", "collection": "documents", "username": "", "password": ""} | (config.get("db") or {})
-    logic = {"delay_between_requests": 5.0, "max_pages": 0, "recheck_interval_days": 7, "respect_robots_txt": True, "max_depth": 10, "sources": []} | (config.get("logic") or {})
+    logic = {"delay_between_requests": 5.0, "max_pages": 0, "recheck_interval_days": 7, "respect_robots_txt": True, "max_depth": 10, "restore_queue_from_saved": True, "sources": []} | (config.get("logic") or {})
     return {"db": db, "logic": logic}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from html import escape
 from pathlib import Path
+from urllib.parse import quote_plus
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +40,36 @@ def plot_script(data: str, image: str, title: str, total: int, b: float, rho: fl
     )
 
 
-def write_statistics(stats: DataFrame, top: DataFrame, path: str) -> None:
-    """The one row of statistics and the top tokens (a bounded table) as text."""
+def write_statistics(stats: DataFrame, top: DataFrame, path: str, seconds: float | None = None) -> None:
+    """The one row of statistics, the speed if the time is given, and the top tokens (a bounded table) as text."""
     row = stats.first().asDict()
-    lines = [f"{k}: {v}" for k, v in row.items()] + ["", "top tokens:"]
+    lines = [f"{k}: {v}" for k, v in row.items()]
+    if seconds:
+        lines += [f"seconds: {seconds:.2f}", f"tokens a second: {row['total_tokens'] / seconds:.0f}", f"KB a second: {row['total_bytes'] / 1024 / seconds:.2f}"]
+    lines += ["", "top tokens:"]
     lines += [f"{r['rank']}. {r['token']}: {r['cnt']}" for r in top.orderBy("rank").collect()]
     Path(path).write_text("\n".join(lines) + "\n", encoding="utf-8")
 
 
-def result_page(query: str, total: int, rows: list, page: int, pages: int) -> str:
-    """A page of results as HTML."""
-    items = "".join(f'<li><a href="{escape(r["url"] or "")}">{escape(r["title"] or "")}</a></li>' for r in rows)
-    return f"<!DOCTYPE html><html><body><form action=/search><input name=q value=\"{escape(query)}\"></form><p>{total}</p><ol>{items}</ol><p>{page}/{pages}</p></body></html>"
+#: What the start page says about queries.
+SYNTAX = (("one two", "both words"), ("one && two", "both words"), ("one || two", "one of them, or both"), ("!one", "pages without the word"), ("(one || two) && !three", "brackets group"))
+
+
+def _form(query: str) -> str:
+    return f'<form action="/search"><input type="text" name="q" value="{escape(query)}"><button type="submit">Search</button></form>'
+
+
+def start_page() -> str:
+    """The page with the form and what a query may look like."""
+    rows = "".join(f"<tr><td><code>{escape(q)}</code></td><td>{escape(text)}</td></tr>" for q, text in SYNTAX)
+    return f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>Search</title></head><body>{_form('')}<table>{rows}</table></body></html>"
+
+
+def result_page(query: str, total: int, rows: list, page: int, pages: int, ms: float = 0.0) -> str:
+    """A page of results as HTML, with links to the pages before and after."""
+    items = "".join(f'<li><a href="{escape(r["url"] or "")}">{escape(r["title"] or "")}</a> <cite>{escape(r["url"] or "")}</cite></li>' for r in rows)
+    body = f"<ol>{items}</ol>" if rows else f"<p>Nothing found for <b>{escape(query)}</b></p>"
+    to = lambda n, text: f'<a href="/search?q={quote_plus(query)}&amp;page={n}">{text}</a> '
+    links = (to(page - 1, "Previous") if page > 1 else "") + f"Page {page} of {pages} " + (to(page + 1, "Next") if page < pages else "")
+    head = f'<head><meta charset="utf-8"><title>{escape(query)}</title></head>'
+    return f"<!DOCTYPE html><html>{head}<body>{_form(query)}<p>{total} documents in {ms:.2f} ms</p>{body}<p>{links}</p></body></html>"

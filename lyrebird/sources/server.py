@@ -8,7 +8,7 @@ from urllib.parse import parse_qs, urlsplit
 
 from lyrebird.operators.index import Index
 from lyrebird.operators.search import Response, page_count, search
-from lyrebird.sources.reports import result_page
+from lyrebird.sources.reports import result_page, start_page
 
 
 def _number(text: str | None, default: int) -> int:
@@ -25,14 +25,14 @@ def answer(index: Index, target: str) -> tuple[int, str, str]:
     args = {k: v[0] for k, v in parse_qs(url.query).items()}
     query, limit, page = args.get("q", ""), max(0, _number(args.get("limit"), 50)), _number(args.get("page"), 1)
     if url.path == "/":
-        return 200, "text/html; charset=utf-8", result_page("", 0, [], 1, 1)
+        return 200, "text/html; charset=utf-8", start_page()
     if url.path not in ("/search", "/api/search"):
         return 404, "text/plain", "not found"
     if url.path == "/search":
         limit = 50
     found = search(index, query, limit, (page - 1) * limit) if page >= 1 else Response(query, search(index, query, 0).total_count, 0.0, [])
     if url.path == "/search":
-        return 200, "text/html; charset=utf-8", result_page(query, found.total_count, found.results, page, page_count(found.total_count))
+        return 200, "text/html; charset=utf-8", result_page(query, found.total_count, found.results, page, page_count(found.total_count), found.query_time_ms)
     results = [{"title": r["title"], "url": r["url"]} for r in found.results]
     body = {"query": query, "total": found.total_count, "time_ms": round(found.query_time_ms, 3), "results": results}
     return 200, "application/json; charset=utf-8", json.dumps(body, ensure_ascii=False)

@@ -12,37 +12,68 @@ from lyrebird.functions.text import content_hash, extract_text, extract_title, t
 from lyrebird.operators.crawl import upsert
 
 STORE = ["url", "html_content", "source_name", "crawl_date", "content_hash"]
+ROWS = "url string, html_content string, source_name string, crawl_date bigint, content_hash string, action string"
+#: Parts of a new store, by the hash of the URL. A batch rewrites those in which it has URLs.
+PARTS = 64
 
 
 class Store:
-    """A table of pages in versions: each batch writes the next version and then the pointer to it.
-
-    A batch that is run again after a failure (same number) finds its version done and changes nothing."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointers(self) -> list:
-        try:
-            return self.spark.read.schema("batch bigint, version string").json(f"{self.path}/pointers").orderBy(F.desc("batch")).limit(1).collect()
-        except Exception:
-            return []
+    """A table of pages in parts by the hash of their URL. Each batch writes anew the parts that it touches, then a pointer
+    that names the folder of every part; the files of the other parts stay as they are.
+
+    A batch that is run again after a failure (same number) finds its pointer written and changes nothing; what a failed
+    batch wrote is never pointed to. Only a store without a folder for pointers is empty: one that can't be read raises."""
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+
+    def _exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def _pointer(self) -> dict | None:
+        """The last finished batch: its number, the number of parts, and the folder of each part. ValueError if there are
+        pointers, but none that can be read."""
+        if not self._exists(f"{self.path}/pointers"):
+            return None
+        read = self.spark.read.schema("batch bigint, parts int, folders map<string,string>, _bad string").option("columnNameOfCorruptRecord", "_bad")
+        last = read.json(f"{self.path}/pointers").orderBy(F.desc("batch")).limit(1).collect()  # one row of at most PARTS folders
+        if not last or last[0]["batch"] is None or last[0]["folders"] is None or last[0]["_bad"] is not None:
+            raise ValueError(f"the pointers of the store at {self.path} can't be read")
+        return last[0].asDict()
+
+    def _read(self, pointer: dict, parts: list[int] | None = None) -> DataFrame:
+        folders = sorted({f for k, f in pointer["folders"].items() if parts is None or int(k) in parts})
+        if not folders:
+            return self.spark.createDataFrame([], f"{ROWS}, batch bigint")
+        return self.spark.read.schema(f"{ROWS}, batch bigint").parquet(*(f"{self.path}/{f}" for f in folders))
 
     def current(self) -> DataFrame:
         """The pages as of the last finished batch, with what it did to each."""
-        last = self._pointers()
-        if not last:
-            return self.spark.createDataFrame([], "url string, html_content string, source_name string, crawl_date bigint, content_hash string, action string")
-        return self.spark.read.parquet(f"{self.path}/{last[0]['version']}")
+        pointer = self._pointer()
+        if pointer is None:
+            return self.spark.createDataFrame([], ROWS)
+        latest = F.col("batch") == F.lit(pointer["batch"])
+        return self._read(pointer).select(*STORE, F.when(latest, F.col("action")).otherwise("kept").alias("action"))
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """Upserts a batch by URL. Unchanged pages get the new date only."""
-        last = self._pointers()
-        if last and last[0]["batch"] >= number:
+        pointer = self._pointer()
+        if pointer and pointer["batch"] >= number:
             return
-        version = f"v{number}-{uuid.uuid4().hex[:8]}"
-        upsert(self.current().select(*STORE), batch.select(*STORE)).write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(number, version)], "batch bigint, version string").coalesce(1).write.mode("append").json(f"{self.path}/pointers")
+        parts = pointer["parts"] if pointer else self.parts
+        part = F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int")
+        rows = batch.where("url is not null").select(*STORE)
+        touched = sorted(r[0] for r in rows.select(part.alias("p")).distinct().collect())  # at most ``parts`` numbers
+        folders = dict(pointer["folders"]) if pointer else {}
+        if touched:
+            version = f"v{number}-{uuid.uuid4().hex[:8]}"
+            old = self._read(pointer, touched) if pointer else self.spark.createDataFrame([], ROWS)
+            merged = upsert(old.select(*STORE), rows).withColumn("batch", F.lit(number).cast("bigint")).withColumn("part", part)
+            merged.repartition("part").write.partitionBy("part").parquet(f"{self.path}/{version}")
+            folders |= {str(p): f"{version}/part={p}" for p in touched}
+        line = self.spark.createDataFrame([(number, parts, folders)], "batch bigint, parts int, folders map<string,string>")
+        line.coalesce(1).write.mode("append").json(f"{self.path}/pointers")
 
     def changed(self) -> DataFrame:
         """The pages that the last batch inserted or replaced: only these need new postings."""

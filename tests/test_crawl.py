@@ -65,7 +65,13 @@ def test_breadth_first(spark):
     got = {r.url[9:]: r.depth for r in crawl.collect()}
     assert got == {"s": 0, "a": 1, "b": 1, "c": 2, "d": 3}
     assert crawl_stats(crawl, store).first().failed == 0
-    assert breadth_first(start, lambda level: store.join(level.select("url"), "url", "left_semi"), 3, max_pages=2).count() == 2
+    asked = []
+
+    def fetch(level):
+        asked.extend(r.url for r in level.collect())
+        return store.join(level.select("url"), "url", "left_semi")
+
+    assert {r.url[9:] for r in breadth_first(start, fetch, 3, max_pages=2).collect()} == {"s", "a"} and asked == ["http://h/s"]  # b isn't asked for
 
 
 def test_links(spark):
@@ -83,6 +89,15 @@ def test_upsert(spark):
     assert again == {"u1": "dated", "u2": "dated", "u3": "dated", "u4": "kept"}
 
 
+def test_upsert_of_repeated_and_equal_rows(spark):
+    schema = "url string, html_content string, source_name string, crawl_date bigint, content_hash string"
+    old = spark.createDataFrame([("u", "a", None, None, "h")] * 3, schema)
+    new = spark.createDataFrame([("u", "b", None, 4, "k"), ("u", "b", "t", 4, "k"), ("u", "b", "t", 4, "k"), ("v", None, None, None, None)], schema)
+    assert sorted(map(tuple, upsert(old, new).collect())) == [("u", "b", "t", 4, "k", "replaced"), ("v", None, None, None, None, "inserted")]
+    assert upsert(old.limit(0), new.limit(0)).count() == 0
+    assert [tuple(r) for r in upsert(old, new.limit(0)).collect()] == [("u", "a", None, None, "h", "kept")]
+
+
 def test_recheck(spark):
     now, week = 10_000_000, 7 * 86400
     df = spark.createDataFrame([(now - week,), (now - week - 1,), (None,)], "d bigint")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lyrebird.operators.index import build, dense_ids, document_count, per_second
 from lyrebird.operators.search import batch, matches, matches_by_sets, page_count, page_of, paged, response_json, search, total
@@ -156,3 +157,24 @@ def test_blocks_hold_the_same_lists(idx):
         assert r.df == len(r.postings) <= 2
         parts.setdefault(r.term, []).extend(r.postings)
     assert parts == whole
+
+
+def test_terms_reach_the_scan(spark):
+    """The postings are a table sorted by term: a search's filter is in the scan, and no text is read for it."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<title>T{i}</title>red w{i}") for i in range(20)], "page_id bigint, url string, html_content string")
+    index = build(pages)
+    plan = index.postings.where(F.col("term").isin(["red", "w3"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [red,w3])]" in plan and "Generate" not in plan
+    plan = matches(index, "red && !w3")._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [" in plan and "toks" not in plan
+    assert matches(index, "red && !w3").count() == 19
+
+
+def test_pages_are_extracted_once(spark, monkeypatch):
+    from lyrebird.operators import index as module
+
+    staged_plans = []
+    real = module.staged
+    monkeypatch.setattr(module, "staged", lambda df, name="table", by=None: staged_plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name, by))
+    build(spark.createDataFrame([(1, "u", "<p>red")], "page_id bigint, url string, html_content string"))
+    assert sum("regexp_replace" in p for p in staged_plans) == 1

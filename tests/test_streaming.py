@@ -1,3 +1,5 @@
+import pytest
+
 from lyrebird.streaming.ingest import Store, apply_delta, ingest, pages_per_hour, postings_delta, read_landing, titles, token_counts
 
 SCHEMA = "url string, html_content string, source_name string, crawl_date bigint"
@@ -33,3 +35,51 @@ def test_stream_aggregates(spark, tmp_path):
     assert spark.table("tokens_q").where("token = 'aa'").first().cnt == 3
     assert spark.table("hours_q").first().pages == 2
     assert titles(read_landing(spark, land, SCHEMA)).isStreaming
+
+
+FULL = SCHEMA + ", content_hash string"
+
+
+def files(root):
+    return {str(p.relative_to(root)) for p in root.rglob("*.parquet")}
+
+
+def test_a_batch_rewrites_only_the_parts_it_touches(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", parts=8)
+    store.apply(spark.createDataFrame([(f"u{i}", "x", "s", 1, "h") for i in range(40)], FULL), 0)
+    before = files(tmp_path)
+    store.apply(spark.createDataFrame([("u3", "y", "s", 2, "k"), (None, "z", "s", 2, "k")], FULL), 1)
+    assert before < files(tmp_path) and len({f for f in files(tmp_path) - before}) == 1
+    pointer = store._pointer()
+    assert sum(f.startswith("v1-") for f in pointer["folders"].values()) == 1
+    got = {r.url: (r.action, r.html_content) for r in store.current().collect()}
+    assert len(got) == 40 and got["u3"] == ("replaced", "y") and {a for a, _ in got.values()} == {"kept", "replaced"}
+    store.apply(spark.createDataFrame([], FULL), 2)
+    assert {r.action for r in store.current().collect()} == {"kept"} and store.current().count() == 40
+
+
+def test_a_store_that_cannot_be_read_raises(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", parts=2)
+    assert store.current().count() == 0  # there is none yet
+    store.apply(spark.createDataFrame([("u", "x", "s", 1, "h")], FULL), 0)
+    for f in (tmp_path / "s" / "pointers").glob("*.json"):
+        f.write_text("{broken")
+    for f in (tmp_path / "s" / "pointers").glob(".*.crc"):
+        f.unlink()
+    for call in (store.current, lambda: store.apply(spark.createDataFrame([("v", "x", "s", 1, "h")], FULL), 1)):
+        with pytest.raises(Exception, match="."):
+            call()
+    assert len(files(tmp_path)) == 1
+
+
+def test_a_failed_batch_leaves_no_trace(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    store = Store(spark, f"file://{tmp_path}/s", parts=2)
+    store.apply(spark.createDataFrame([("u", "x", "s", 1, "h")], FULL), 0)
+    bad = spark.createDataFrame([("u", "y", "s", 2, "k")], FULL).withColumn("html_content", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        store.apply(bad, 1)
+    assert store.current().first().html_content == "x"
+    store.apply(spark.createDataFrame([("u", "y", "s", 2, "k")], FULL), 1)
+    assert store.current().first().html_content == "y"
