@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 from urllib.parse import unquote_to_bytes
 
@@ -16,37 +17,48 @@ from lyrebird.llm.pages import main_bodies
 from lyrebird.plans.staging import staged
 
 
-def _ceil_share(n: Column, t: Fraction) -> Column:
-    """ceil(t * n) in whole numbers."""
-    return F.floor((n * t.numerator + (t.denominator - 1)) / F.lit(t.denominator))
-
-
 #: Every so many-th set, by hash, is looked at to find hot tokens; those in more than that share of them are hot, at most so
 #: many. This only chooses the way its rows are dealt; no token and no row is left out.
 HOT_EVERY, HOT_SHARE, MOST_HOT = 64, 0.01, 100_000
 
 
+def _ceil_share(n: Column, num: Column, den: Column) -> Column:
+    """ceil(num / den * n) in whole numbers."""
+    return F.floor((n * num + (den - 1)) / den)
+
+
+def _pick(values: list, number: Column) -> Column:
+    """The value with that number."""
+    out = F.lit(values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = F.when(number == i, F.lit(v)).otherwise(out)
+    return out
+
+
 def counted_tokens(sets: DataFrame, every: int = HOT_EVERY, share: float = HOT_SHARE) -> DataFrame:
     """(cls, n, token, df) of the tokens that occur in more than one set; df is the number of sets, for hot tokens that number
     as the sample gives it, which is all that an order of the tokens needs.
 
     Rows are brought together by token, once. A token of very many sets would make that one task's work. Such tokens are known
     from a sample of the sets (at most the mean size of a set divided by ``share``, and ``MOST_HOT``, so the list can be sent
-    to all); as three sampled sets or more have them, they aren't alone, and their rows are dealt by set."""
+    to all); as three sampled sets or more have them, they aren't alone, and their rows are dealt by token and set."""
     picked = sets.where(F.pmod(F.xxhash64("cls"), F.lit(every)) == 0)
     least = F.broadcast(picked.agg(F.greatest(F.lit(2.0), F.count("*") * F.lit(share)).alias("least")))  # a single row
     often = picked.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("k"))
     hot = often.crossJoin(least).where("k > least").orderBy(F.desc("k"), "token").limit(MOST_HOT).select("token", (F.col("k") * every).alias("about"))
-    rows = sets.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(F.broadcast(staged(hot, "hot")), "token", "left")
-    dealt = Window.partitionBy("token", F.when(F.col("about").isNotNull(), F.col("cls")))
-    counted = rows.withColumn("df", F.coalesce("about", F.count(F.lit(1)).over(dealt)))
+    rows = sets.select("cls", "n", F.explode("tokens").alias("token")).join(F.broadcast(staged(hot, "hot")), "token", "left")
+    # one number to deal and sort by: should that of a hot row be another token's too, that token isn't taken for a lone one
+    dealt = rows.withColumn("key", F.when(F.col("about").isNull(), F.col("token")).otherwise(F.xxhash64("token", "cls")))
+    counted = dealt.withColumn("df", F.coalesce("about", F.count(F.lit(1)).over(Window.partitionBy("key"))))
     return counted.where("df > 1").select("cls", "n", "token", "df")
 
 
-def similar_classes(sets: DataFrame, threshold: Fraction, every: int = HOT_EVERY) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: Fraction | list[Fraction], every: int = HOT_EVERY) -> DataFrame:
     """(a, b): pairs of classes, a < b, whose token sets have a Jaccard similarity of at least ``threshold``.
 
-    ``sets``: (cls bigint unique, tokens array<bigint> of distinct values, not empty).
+    ``sets``: (cls bigint unique, tokens array<bigint> of distinct values, not empty). With several thresholds there is a
+    column ``f``, the number of each set's threshold; only sets with the same number are compared. So several collections go
+    through one plan.
 
     Tokens are put in one order for all sets, rarest first. Two sets can only reach the threshold if they share a token
     among the first ``n - ceil(threshold * n) + 1`` of each. A token that occurs in one set only can't be shared, so
@@ -57,64 +69,85 @@ def similar_classes(sets: DataFrame, threshold: Fraction, every: int = HOT_EVERY
     expanded to their members and verified on the whole sets. A prefix never holds a common token unless the set
     has nothing rarer, and no token, pair or group is left out for its frequency.
     """
-    t = threshold
-    ordered = counted_tokens(sets, every).groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("df"), F.col("token")))).alias("o"))
-    shared = staged(ordered.select("cls", "n", F.transform("o", lambda x: x.token).alias("tokens")), "shared")
+    ts = threshold if isinstance(threshold, list) else [threshold]
+    # a set's size with the number of its threshold, as one number
+    f = F.col("f") if len(ts) > 1 else F.lit(0)
+    sized = sets.select("cls", (F.size("tokens").cast("bigint") * len(ts) + f).alias("n"), "tokens")
+    ordered = counted_tokens(sized, every).groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("df"), F.col("token")))).alias("o"))
+    number, size = F.pmod(F.col("n"), F.lit(len(ts))).cast("int"), F.floor(F.col("n") / len(ts)).cast("int")
+    shared = staged(ordered.select("cls", number.alias("f"), size.alias("n"), F.transform("o", lambda x: x.token).alias("tokens")), "shared")
+    num, den = _pick([t.numerator for t in ts], F.col("f")), _pick([t.denominator for t in ts], F.col("f"))
 
     alone = F.col("n") - F.size("tokens")
-    places = F.col("n") - _ceil_share(F.col("n"), t) + 1 - alone
+    places = F.col("n") - _ceil_share(F.col("n"), num, den) + 1 - alone
     short = shared.withColumn("alone", alone).withColumn("k", places.cast("int")).where("k > 0")
     grouped = short.withColumn("prefix", F.slice("tokens", F.lit(1), F.least(F.col("k"), F.size("tokens"))))
     # the prefix with the size settles the group; members keep their own number
-    group_key = [F.col("n"), F.col("prefix")]
-    groups = grouped.groupBy(*group_key).agg(F.min("cls").alias("g"), F.first("alone").alias("alone"))
-    members = staged(grouped.join(groups.select("n", "prefix", "g"), ["n", "prefix"]).select("g", "cls"), "members")
-
-    at = groups.select("g", "n", "alone", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("alone")).drop("alone")
-    bucket = F.floor(F.log("n") / F.lit(math.log(t.denominator / t.numerator)) + F.lit(1e-9)).cast("int") if t < 1 else F.col("n")
-    at = at.withColumn("bucket", bucket)
-    left = at.select("token", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = at.select("token", "bucket", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    groups = grouped.groupBy("f", "n", "prefix").agg(F.min("cls").alias("g"), F.first("alone").alias("alone"))
+    members = staged(grouped.join(groups.select("f", "n", "prefix", "g"), ["f", "n", "prefix"]).select("g", "cls", "f", "n", "alone", "prefix"), "members")
+
+    lead = members.where(F.col("g") == F.col("cls"))  # a group's first member stands for it
+    at = lead.select("g", "f", "n", "alone", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("alone")).drop("alone")
+    width = _pick([math.log(t.denominator / t.numerator) if t < 1 else 1e-6 for t in ts], F.col("f"))
+    at = at.withColumn("bucket", F.floor(F.log("n") / width + F.lit(1e-9)))
+    left = at.select("token", "f", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = at.select("token", "f", "bucket", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     na, nb = F.col("na"), F.col("nb")  # the smaller, or of equal ones the first, is on the left
-    need = _ceil_share(na + nb, t / (1 + t))
+    need = _ceil_share(na + nb, num, den + num)
     room = F.least(na - F.col("pa"), nb - F.col("pb"))
     ordered_pair = (na < nb) | ((na == nb) & (F.col("ga") < F.col("gb")))
-    candidates = left.join(right, ["token", "bucket"]).where(ordered_pair & (na * t.denominator >= nb * t.numerator) & (room >= need)).select("ga", "gb").distinct()
+    candidates = left.join(right, ["token", "f", "bucket"]).where(ordered_pair & (na * den >= nb * num) & (room >= need)).select("ga", "gb").distinct()
 
     ma, mb = members.select(F.col("g").alias("ga"), F.col("cls").alias("x")), members.select(F.col("g").alias("gb"), F.col("cls").alias("y"))
     across = candidates.join(ma, "ga").join(mb, "gb").select("x", "y")
     within = ma.join(mb, F.col("ga") == F.col("gb")).where("x < y").select("x", "y")
     pairs = across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    sa = shared.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    sa = shared.select(F.col("cls").alias("a"), F.col("f"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     sb = shared.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
-    verified = pairs.join(sa, "a").join(sb, "b").withColumn("c", common).where(F.col("c") * t.denominator >= (na + nb - F.col("c")) * t.numerator)
+    verified = pairs.join(sa, "a").join(sb, "b").withColumn("c", common).where(F.col("c") * den >= (na + nb - F.col("c")) * num)
     return verified.select("a", "b")
 
 
-def near_duplicates(texts: DataFrame, tokens: Callable[[DataFrame], DataFrame], threshold: Fraction) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal texts and the similar pairs of classes.
+@dataclass
+class Collection:
+    """Texts (id bigint, text string) to compare, how they are cut into sets, and from which similarity on.
 
-    ``texts``: (id bigint, text string). ``tokens`` turns (cls, text) into (cls, tokens array<bigint>, distinct, not
-    empty). Returns (id, cls) and (a, b). Copies of a text form one class, however many, before anything else is done.
-    Null texts are left out; an id that comes with several texts is in several classes.
-    """
-    rows = texts.where("text is not null").select("id", "text", F.unhex(F.md5("text")).alias("sig"))
-    classes = staged(rows.groupBy("sig").agg(F.first("text").alias("text")).withColumn("cls", F.monotonically_increasing_id()), "classes")
-    sets = tokens(classes.select("cls", "text"))
-    membership = rows.select("id", "sig").join(classes.select("sig", "cls"), "sig").select("id", "cls").distinct()
-    return membership, similar_classes(sets, threshold)
+    ``tokens`` turns (cls, text) into (cls, tokens array<bigint>, distinct, not empty)."""
+
+    texts: DataFrame
+    tokens: Callable[[DataFrame], DataFrame]
+    threshold: Fraction
+
+
+def near_duplicates(collections: list[Collection]) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal texts and the similar pairs of classes, of several collections in one pass: (f, id, cls), f being the
+    number of the collection, and (a, b).
+
+    Copies of a text form one class, however many, before anything else is done. Null texts are left out; an id that comes
+    with several texts is in several classes."""
+    rows = None
+    for f, c in enumerate(collections):
+        part = c.texts.where("text is not null").select(F.lit(f).alias("f"), "id", "text", F.unhex(F.md5("text")).alias("sig"))
+        rows = part if rows is None else rows.unionByName(part)
+    classes = staged(rows.groupBy("f", "sig").agg(F.first("text").alias("text")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    sets = None
+    for f, c in enumerate(collections):
+        part = c.tokens(classes.where(F.col("f") == f).select("cls", "text")).select("cls", "tokens", F.lit(f).alias("f"))
+        sets = part if sets is None else sets.unionByName(part)
+    membership = rows.select("f", "id", "sig").join(classes.select("f", "sig", "cls"), ["f", "sig"]).select("f", "id", "cls").distinct()
+    return staged(membership, "membership"), similar_classes(sets, [c.threshold for c in collections])
 
 
 def id_pairs(membership: DataFrame, classes: DataFrame) -> DataFrame:
-    """(page_a, page_b): the pairs of different ids in one class or in two similar classes, the smaller first."""
-    m = staged(membership, "membership")
-    a, b = m.select(F.col("cls").alias("a"), F.col("id").alias("x")), m.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    across = classes.join(a, "a").join(b, "b").where("x <> y").select("x", "y")
+    """(f, page_a, page_b): the pairs of different ids in one class or in two similar classes, the smaller first."""
+    m = membership
+    a, b = m.select("f", F.col("cls").alias("a"), F.col("id").alias("x")), m.select(F.col("cls").alias("b"), F.col("id").alias("y"))
+    across = classes.join(a, "a").join(b, "b").where("x <> y").select("f", "x", "y")
     several = m.groupBy("cls").count().where("count > 1").select("cls")
     inside = m.join(several, "cls")
-    within = inside.select("cls", F.col("id").alias("x")).join(inside.select("cls", F.col("id").alias("y")), "cls").where("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("page_a"), F.greatest("x", "y").alias("page_b")).distinct()
+    within = inside.select("cls", "f", F.col("id").alias("x")).join(inside.select("cls", F.col("id").alias("y")), "cls").where("x < y").select("f", "x", "y")
+    return across.unionByName(within).select("f", F.least("x", "y").alias("page_a"), F.greatest("x", "y").alias("page_b")).distinct()
 
 
 def word_count(text: str) -> Column:
@@ -163,49 +196,49 @@ def _url_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([url_words(u) for u in batch.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
 
-def similar_articles(pages: DataFrame, threshold: Fraction = Fraction(3, 5), words: int = 3, least: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Classes and similar pairs of classes of pages by the word shingles of their articles of ``least`` words or more."""
+def articles(pages: DataFrame, threshold: Fraction = Fraction(3, 5), words: int = 3, least: int = 30) -> Collection:
+    """The articles of ``least`` words or more of pages, by their word shingles."""
     bodies = main_bodies(pages)
     text = F.concat_ws(" ", F.transform("blocks", lambda b: b.words))
     texts = bodies.select(F.col("page_id").alias("id"), text.alias("text")).where(word_count("text") >= max(least, words))
-    return near_duplicates(texts, shingles(words), threshold)
+    return Collection(texts, shingles(words), threshold)
 
 
-def similar_urls(docs: DataFrame, threshold: Fraction = Fraction(3, 4), least: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Classes and similar pairs of classes of documents by the words of their URLs' paths."""
+def url_paths(docs: DataFrame, threshold: Fraction = Fraction(3, 4), least: int = 6) -> Collection:
+    """The documents' URLs with ``least`` words or more in their path, by these words."""
     read = docs.select(F.col("doc_id").cast("bigint").alias("id"), "url").where("url is not null").distinct()
     texts = read.mapInArrow(_url_batches, "id bigint, text string")
-    return near_duplicates(texts.where(word_count("text") >= least), word_hashes, threshold)
+    return Collection(texts.where(word_count("text") >= least), word_hashes, threshold)
+
+
+FIELDS = ("html_content", "url")
+
+
+def _found(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates([articles(spark.read.parquet(f"{sf_dir}/crawled.parquet")), url_paths(spark.read.parquet(f"{sf_dir}/docinfo.parquet"))])
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
     """All pairs of pages with nearly the same article, and of documents with nearly the same URL."""
-    pages = id_pairs(*similar_articles(spark.read.parquet(f"{sf_dir}/crawled.parquet")))
-    urls = id_pairs(*similar_urls(spark.read.parquet(f"{sf_dir}/docinfo.parquet")))
-    return pages.select(F.lit("html_content").alias("field"), "page_a", "page_b").unionByName(urls.select(F.lit("url").alias("field"), "page_a", "page_b"))
+    return id_pairs(*_found(spark, sf_dir)).select(_pick(list(FIELDS), F.col("f")).alias("field"), "page_a", "page_b")
 
 
 def representatives(membership: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same result without the pairs inside classes: (id, representative), the representative being the smallest id with
-    the same text, and (a, b), the similar pairs of representatives, the smaller first."""
-    m = staged(membership, "membership")
-    first = m.groupBy("cls").agg(F.min("id").alias("representative"))
-    of = m.join(first, "cls").select("id", "representative").distinct()
-    a, b = first.select(F.col("cls").alias("a"), F.col("representative").alias("x")), first.select(F.col("cls").alias("b"), F.col("representative").alias("y"))
-    links = classes.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """The same result without the pairs inside classes: (f, id, representative), the representative being the smallest id
+    with the same text, and (f, a, b), the similar pairs of representatives, the smaller first."""
+    first = membership.groupBy("f", "cls").agg(F.min("id").alias("representative"))
+    of = membership.join(first, ["f", "cls"]).select("f", "id", "representative").distinct()
+    a, b = first.select("f", F.col("cls").alias("a"), F.col("representative").alias("x")), first.select(F.col("cls").alias("b"), F.col("representative").alias("y"))
+    links = classes.join(a, "a").join(b, "b").where("x <> y").select("f", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return of, links
 
 
 def p1_classes(spark, sf_dir: str) -> DataFrame:
     """Every page with an article and every document with URL words, with the representative of its class of equal texts and
     the number of other classes that are similar to it."""
-    out = []
-    for field, found in (("html_content", similar_articles(spark.read.parquet(f"{sf_dir}/crawled.parquet"))), ("url", similar_urls(spark.read.parquet(f"{sf_dir}/docinfo.parquet")))):
-        of, links = representatives(*found)
-        links = staged(links, "links")
-        degree = links.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
-        out.append(of.join(degree, "representative", "left").select(F.lit(field).alias("field"), F.col("id").alias("page_id"), "representative", F.coalesce("links", F.lit(0)).alias("links")))
-    return out[0].unionByName(out[1])
+    of, links = representatives(*_found(spark, sf_dir))
+    degree = links.select("f", F.explode(F.array("a", "b")).alias("representative")).groupBy("f", "representative").agg(F.count("*").alias("links"))
+    return of.join(degree, ["f", "representative"], "left").select(_pick(list(FIELDS), F.col("f")).alias("field"), F.col("id").alias("page_id"), "representative", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}

@@ -40,6 +40,25 @@ def mask_of(joined: str, count: int, tag: str) -> int:
     return (_h64(DIGITS.sub("0", joined)) & ~7) | (2 * _KINDS.get(tag, TEXT)) | (LONG if count >= LONG_WORDS else 0)
 
 
+#: Masks of lines that a worker has seen, as pages of a site share most of those outside their bodies; and how many it keeps.
+_masks: dict[tuple[str, str], int | None] = {}
+KEEP_MASKS = 100_000
+
+
+def _outside_mask(text: str, tag: str) -> int | None:
+    """The mask of a line, None if it has no word."""
+    key = (text, tag)
+    if key in _masks:
+        return _masks[key]
+    tokens = words(text)
+    mask = mask_of(" ".join(tokens), len(tokens), tag) if tokens else None
+    if len(text) < 300:
+        if len(_masks) >= KEEP_MASKS:
+            _masks.clear()
+        _masks[key] = mask
+    return mask
+
+
 def page_row(source: str | None, url: str | None, with_text: bool = False) -> tuple[int, list[dict], list[int]]:
     """Site, candidate main blocks, and the masks of the lines outside them, of one page.
 
@@ -67,8 +86,10 @@ def page_row(source: str | None, url: str | None, with_text: bool = False) -> tu
     outside: dict[int, None] = {}
     if page:
         for block in page.blocks:
-            if id(block) not in inside and (tokens := words(block.text)):
-                outside[mask_of(" ".join(tokens), len(tokens), page.tags[block.node])] = None
+            if id(block) not in inside:
+                mask = _outside_mask(block.text, page.tags[block.node])
+                if mask is not None:
+                    outside[mask] = None
     return _h64(site_of(url)), out, list(outside)
 
 
@@ -116,7 +137,7 @@ def repeated_lines(candidates: DataFrame, least: int = 3, share: float = 0.5, ow
     outside = candidates.select("site", F.explode("outside").alias("mask"))
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     rows = inside.select("site", "mask", "body", one.alias("i"), none.alias("o")).unionByName(outside.select("site", "mask", F.lit(None).cast("bigint").alias("body"), none.alias("i"), one.alias("o")))
-    counted = staged(rows.groupBy("site", "mask").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.min("body").alias("a"), F.max("body").alias("z")).where("i > 0 or o >= %d" % min(least, everywhere)), "lines")
+    counted = rows.groupBy("site", "mask").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.min("body").alias("a"), F.max("body").alias("z"))
     # a line that is nowhere inside can't be taken out of a body
     total = counted.groupBy("mask").agg(F.sum("i").alias("gi"), F.sum("o").alias("go"), F.max("i").alias("most")).where((F.col("gi") > 0) & ((F.col("most") >= least) | (F.col("go") >= least)))
     both = staged(counted.where("i > 0").join(total, "mask").select("site", "mask", "i", "o", "a", "z", "gi", "go"), "totals")
@@ -133,7 +154,7 @@ def repeated_lines(candidates: DataFrame, least: int = 3, share: float = 0.5, ow
     # the counts outside decide without a look at the bodies
     here = (_kind() != CELL) & (F.col("o") >= least) & (F.col("o") > outweigh * F.col("i"))
     all_over = text & (F.col("go") >= everywhere) & (F.col("go") > outweigh * F.col("gi"))
-    return notes.select("site", "mask").unionByName(both.where(here | all_over).select("site", "mask")).distinct()
+    return notes.select("site", "mask").unionByName(both.where(here | all_over).select("site", "mask"))  # a line may be there twice
 
 
 def main_bodies(pages: DataFrame, page_id: str = "page_id", html: str = "html_content", url: str = "url", with_text: bool = False) -> DataFrame:
