@@ -42,15 +42,18 @@ def counted_tokens(sets: DataFrame, every: int = HOT_EVERY, share: float = HOT_S
     Rows are brought together by token, once. A token of very many sets would make that one task's work. Such tokens are known
     from a sample of the sets (at most the mean size of a set divided by ``share``, and ``MOST_HOT``, so the list can be sent
     to all); as three sampled sets or more have them, they aren't alone, and their rows are dealt by token and set."""
+    # the outer explode: for the other the planner would filter on the size of the array, for which it makes all sets twice
+    each = F.explode_outer("tokens").alias("token")
     picked = sets.where(F.pmod(F.xxhash64("cls"), F.lit(every)) == 0)
     least = F.broadcast(picked.agg(F.greatest(F.lit(2.0), F.count("*") * F.lit(share)).alias("least")))  # a single row
-    often = picked.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("k"))
+    often = picked.select(each).groupBy("token").agg(F.count("*").alias("k")).where("token is not null")
     hot = often.crossJoin(least).where("k > least").orderBy(F.desc("k"), "token").limit(MOST_HOT).select("token", (F.col("k") * every).alias("about"))
-    rows = sets.select("cls", "n", F.explode("tokens").alias("token")).join(F.broadcast(staged(hot, "hot")), "token", "left")
+    rows = sets.select("cls", "n", each).join(F.broadcast(staged(hot, "hot")), "token", "left").where("token is not null")
     # one number to deal and sort by: should that of a hot row be another token's too, that token isn't taken for a lone one
-    dealt = rows.withColumn("key", F.when(F.col("about").isNull(), F.col("token")).otherwise(F.xxhash64("token", "cls")))
+    key = F.when(F.col("about").isNull(), F.col("token")).otherwise(F.xxhash64("token", "cls"))
+    dealt = rows.select("cls", "n", key.alias("key"), "about", F.when(F.col("about").isNotNull(), F.col("token")).alias("hot"))
     counted = dealt.withColumn("df", F.coalesce("about", F.count(F.lit(1)).over(Window.partitionBy("key"))))
-    return counted.where("df > 1").select("cls", "n", "token", "df")
+    return counted.where("df > 1").select("cls", "n", F.coalesce("hot", "key").alias("token"), "df")
 
 
 def similar_classes(sets: DataFrame, threshold: Fraction | list[Fraction], every: int = HOT_EVERY) -> DataFrame:

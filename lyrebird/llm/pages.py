@@ -137,7 +137,7 @@ def repeated_lines(candidates: DataFrame, least: int = 3, share: float = 0.5, ow
     outside = candidates.select("site", F.explode("outside").alias("mask"))
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     rows = inside.select("site", "mask", "body", one.alias("i"), none.alias("o")).unionByName(outside.select("site", "mask", F.lit(None).cast("bigint").alias("body"), none.alias("i"), one.alias("o")))
-    counted = rows.groupBy("site", "mask").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.min("body").alias("a"), F.max("body").alias("z"))
+    counted = staged(rows.groupBy("site", "mask").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.min("body").alias("a"), F.max("body").alias("z")), "lines")
     # a line that is nowhere inside can't be taken out of a body
     total = counted.groupBy("mask").agg(F.sum("i").alias("gi"), F.sum("o").alias("go"), F.max("i").alias("most")).where((F.col("gi") > 0) & ((F.col("most") >= least) | (F.col("go") >= least)))
     both = staged(counted.where("i > 0").join(total, "mask").select("site", "mask", "i", "o", "a", "z", "gi", "go"), "totals")
