@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.llm.tokens import encoder, vocabulary_path
+from lyrebird.llm.tokens import encoder, shipped
 from lyrebird.plans.spread import spread
 from lyrebird.plans.staging import staged
 
@@ -19,10 +19,10 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
 
     In a text of several lines the words that begin in the first are the prompt, whose tokens bear none; in a text of one
     line all tokens do. A text is encoded once. Null and empty texts have size 0."""
-    path = vocabulary_path(path)
+    name = shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(name)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyrebird.plans.spread import spread
@@ -236,11 +237,25 @@ class SpeculativeBpe:
         return out
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
+def shipped(spark: SparkSession, path: str | None = None) -> str:
+    """The name under which executors find the vocabulary file, which is sent to them once for each application."""
+    path = vocabulary_path(path)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add(key)
+    return os.path.basename(path)
+
+
 _loaded: dict[str, SpeculativeBpe] = {}
 
 
-def encoder(path: str) -> SpeculativeBpe:
-    """The worker's encoder of a vocabulary file, loaded once a process."""
+def encoder(name: str) -> SpeculativeBpe:
+    """The worker's encoder of a vocabulary file that was sent to it, loaded once a process."""
+    path = SparkFiles.get(name)
     if path not in _loaded:
         _loaded[path] = SpeculativeBpe(path)
     return _loaded[path]
@@ -249,10 +264,10 @@ def encoder(path: str) -> SpeculativeBpe:
 def token_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, ids): the token ids of every text, whole, without special tokens; their strings in a text are ordinary
     text. Null and empty texts have the empty list. Repeated rows give repeated rows, an empty table none."""
-    path = vocabulary_path(path)
+    name = shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(name)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
