@@ -244,5 +244,18 @@ def p1_classes(spark, sf_dir: str) -> DataFrame:
     return of.join(degree, ["f", "representative"], "left").select(_pick(list(FIELDS), F.col("f")).alias("field"), F.col("id").alias("page_id"), "representative", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
-ORACLE: dict[str, str] = {}
+def p1_urls(spark, sf_dir: str) -> DataFrame:
+    """All pairs of documents with nearly the same URL."""
+    return id_pairs(*near_duplicates([url_paths(spark.read.parquet(f"{sf_dir}/docinfo.parquet"))])).select("page_a", "page_b")
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_urls": p1_urls}
+ORACLE = {
+    "p1_urls": r"""
+with read as (select distinct doc_id, regexp_replace(trim(url), '[?#].*$', '', 's') as u from docinfo where url is not null),
+paths as (select doc_id, url_decode(regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*:', ''), '^//[^/]*', '')) as path from read),
+sets as (select doc_id, list_distinct(regexp_extract_all(lower(path), '[a-z0-9а-яё]+')) as w from paths),
+long as (select * from sets where len(w) >= 6)
+select distinct least(a.doc_id, b.doc_id) as page_a, greatest(a.doc_id, b.doc_id) as page_b from long a join long b on a.doc_id < b.doc_id
+where 4 * len(list_intersect(a.w, b.w)) >= 3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""",
+}

@@ -209,5 +209,30 @@ def p8_fill(spark, sf_dir: str) -> DataFrame:
     return fill_figures(p8_filled(spark, sf_dir))
 
 
-QUERIES = {"p8_filled": p8_filled, "p8_fill": p8_fill}
-ORACLE: dict[str, str] = {}
+def broken_rules(filled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(container_kind, documents, incomplete, over_tokens, over_segments, over_loss, split): how many documents are placed, of
+    how many the pieces don't add up to the text, how many containers break a limit (a piece over the limit on loss may share
+    one with pieces that bear none), and how many texts within the capacity are split."""
+    rows = filled.where("container_id is not null")
+    each = rows.groupBy("container_kind", "container_id").agg(
+        F.sum("tokens").alias("t"), F.count("*").alias("c"), F.sum("loss").alias("l"), F.sum(F.when(~F.col("over_limit"), F.col("loss")).otherwise(0)).alias("rest"), F.count_if("over_limit").alias("over"),
+        F.max("capacity").alias("capacity"), F.max("segments").alias("segments"), F.max("loss_limit").alias("loss_limit"),
+    )
+    loss = F.when(F.col("over") == 0, F.col("l") > F.col("loss_limit")).otherwise((F.col("over") > 1) | (F.col("rest") > 0))
+    limits = each.groupBy("container_kind").agg(F.count_if(F.col("t") > F.col("capacity")).alias("over_tokens"), F.count_if(F.col("c") > F.col("segments")).alias("over_segments"), F.count_if(loss).alias("over_loss"))
+    whole = rows.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("pieces"), F.max("capacity").alias("capacity"))
+    of = whole.join(sizes.select("doc_id", F.col("tokens").alias("size")), "doc_id")
+    texts = of.groupBy("container_kind").agg(F.count("*").alias("documents"), F.count_if(F.col("t") != F.col("size")).alias("incomplete"), F.count_if((F.col("size") <= F.col("capacity")) & (F.col("pieces") > 1)).alias("split"))
+    return texts.join(limits, "container_kind").select("container_kind", "documents", "incomplete", "over_tokens", "over_segments", "over_loss", "split")
+
+
+def p8_broken(spark, sf_dir: str) -> DataFrame:
+    """Whether ``p8_filled`` places every text and keeps every rule."""
+    sizes = staged(measured(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sizes")
+    filled = staged(filled_containers(sizes, spark.read.parquet(f"{sf_dir}/containers.parquet")), "filled")
+    return broken_rules(filled, sizes)
+
+
+QUERIES = {"p8_filled": p8_filled, "p8_fill": p8_fill, "p8_broken": p8_broken}
+_NONE = ", ".join(f"0::bigint as {c}" for c in ("incomplete", "over_tokens", "over_segments", "over_loss", "split"))
+ORACLE = {"p8_broken": f"select container_kind, (select count(*) from documents where text <> '') as documents, {_NONE} from containers"}
