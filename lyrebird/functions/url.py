@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 from urllib.parse import parse_qs, unquote, urlencode, urljoin, urlparse, urlunparse
 
 import pandas as pd
@@ -31,6 +31,23 @@ def normal_url(url: str | None, base: str | None = None) -> str:
         return ""
 
 
+_known = lru_cache(200_000)(normal_url)
+_ROOT = re.compile("[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*")
+
+
+def resolved(url: str | None, base: str | None) -> str:
+    """``normal_url`` of a link, remembered by what it depends on: a link from the root of its host, which most are, isn't
+    read anew for each page of the host, nor an absolute one for each page."""
+    if url and base:
+        if url[0] == "/" and url[1:2] != "/":
+            root = _ROOT.match(base)
+            if root:
+                return _known(url, root.group() + "/")
+        elif url.startswith(("http://", "https://")):
+            return _known(url, None)
+    return normal_url(url, base)
+
+
 @F.pandas_udf(T.StringType())
 def normalize_url(url: pd.Series) -> pd.Series:
     """``normal_url`` of a column, in Arrow batches."""
@@ -40,7 +57,7 @@ def normalize_url(url: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def resolve_url(url: pd.Series, base: pd.Series) -> pd.Series:
     """``normal_url`` of a column of links against the column of their pages."""
-    return pd.Series([normal_url(u, b) for u, b in zip(url, base)], dtype="object")
+    return pd.Series([resolved(u, b) for u, b in zip(url, base)], dtype="object")
 
 
 def _c(c: Column | str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.robotparser import RobotFileParser
 
@@ -29,8 +31,26 @@ class _Hrefs(HTMLParser):
             self.found += [v or "" for k, v in attrs if k == "href"][:1]
 
 
+#: An <a> with its attributes, and an href among these that has a value.
+_ANCHOR = re.compile(r"<a[\s/]((?:[^\"'<>]|\"[^\"<>]*\"|'[^'<>]*')*)>", re.I)
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What only a parser can read: comments and declarations, elements with raw text, anchors that the pattern doesn't take.
+_NOT_PLAIN = re.compile(r"<[!?]|<(?:script|style|textarea|title|xmp|iframe|noembed|noframes|plaintext)\b", re.I)
+_TITLE = re.compile(r"<title>[^<]*</title>", re.I)
+_ANY_ANCHOR = re.compile(r"<a(?![a-zA-Z0-9])", re.I)
+
+
 def hrefs_of(html: str | None) -> list[str]:
-    """The href of every <a> that has one, in order, entities decoded. Broken html gives what was read so far."""
+    """The href of every <a> that has one, in order, entities decoded. Broken html gives what was read so far. Pages of plain
+    anchors are read by pattern, others by the parser; both give the same."""
+    html = html or ""
+    plain = _TITLE.sub("", html)
+    if not _NOT_PLAIN.search(plain):
+        anchors = _ANCHOR.findall(plain)
+        if len(anchors) == len(_ANY_ANCHOR.findall(plain)):
+            found = [(a, _HREF.findall(a)) for a in anchors]
+            if all(len(h) == (1 if "href" in a.lower() else 0) for a, h in found):
+                return [unescape(x or y or z) for _, h in found for x, y, z in h]
     reader = _Hrefs()
     try:
         reader.feed(html or "")

@@ -48,6 +48,43 @@ def test_hrefs():
     assert hrefs_of(None) == [] and hrefs_of("<a href='open") == []
 
 
+ODD = [
+    "<a href='/x?a=1&amp;b=2'>t</a><A HREF=y><a name=q><p href=z><a href>", "<a title='a > b' href=\"x\">", "<!-- <a href=no> --><a href=yes>", "<script>'<a href=no>'</script><a href=yes>",
+    "<title><a href=no></title><a href=yes>", "<title>x</title><a class=\"c\" href = 'yes'>", "<a data-href=no href=yes>", "<a href=1 href=2>", "<a\nhref=x>", "<abbr href=no><a/href=x>",
+    "<a href=x", "<a href='x>y</a><a href=z>", "<a href=\"a\"b>", "<A hreF=&eacute;&#1072;>", "<a href=''>", "", None, "a < b <a href=x>", "<a href=x/>", "<a x=href>",
+]
+
+
+def parsed(html):
+    from lyrebird.operators.crawl import _Hrefs
+
+    reader = _Hrefs()
+    reader.feed(html or "")
+    reader.close()
+    return reader.found
+
+
+@pytest.mark.parametrize("html", ODD)
+def test_pattern_and_parser_agree(html):
+    assert hrefs_of(html) == parsed(html)
+
+
+def test_pattern_and_parser_agree_on_pages(spark, data):
+    from lyrebird.functions.url import resolved
+
+    for r in spark.read.parquet(f"{data}/crawled.parquet").select("url", "html_content").collect():
+        found = hrefs_of(r.html_content)
+        assert found == parsed(r.html_content)
+        assert [resolved(h, r.url) for h in found] == [normal_url(h, r.url) for h in found]
+
+
+@pytest.mark.parametrize(("url", "base"), [("/x", "http://H/a/b?c#d"), ("//o/x", "http://h/"), ("http:x", "http://h/a/"), ("https://o?x", "http://h"), ("/x/../y", "http://h"), ("/x", "h"), ("/", "mailto:x"), ("/x;p?q", "http://h/a;b")])
+def test_remembered_links(url, base):
+    from lyrebird.functions.url import resolved
+
+    assert resolved(url, base) == normal_url(url, base)
+
+
 def page(url, *targets):
     return (url, "".join(f'<a href="{t}">t</a>' for t in targets) or "-")
 
