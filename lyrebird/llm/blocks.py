@@ -172,12 +172,13 @@ def mark_chrome(page: Page) -> tuple[list[bool], list[bool]]:
 
 
 COMMAS = re.compile("[,،、，]")
+EAST = re.compile("[\u0600-\u06ff\u3000-\uffff]")
 WIDE = re.compile("[\u3000-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 
 
 def weight_of(text: str) -> tuple[int, int]:
     """A text's length, in which an ideograph or a syllable counts twice, and its commas."""
-    if text.isascii() or max(text) < "\u0600":
+    if text.isascii() or not EAST.search(text):
         return len(text), text.count(",")
     return len(text) + len(WIDE.findall(text)), len(COMMAS.findall(text))
 

@@ -123,13 +123,13 @@ def features(page: Page) -> np.ndarray:
     logs = [0.0, *(min(1.0, math.log1p(len(b.text)) / 5) for b in blocks), 0.0]
     whole, last = max(chars[0], 1), max(len(blocks) - 1, 1)
     marked = mark_chrome(page)[1]
-    out = np.zeros((len(blocks), len(FEATURES)))
+    out = []
     for i, b in enumerate(blocks):
         tag, text = tags[b.node], b.text
         length, commas = weight_of(text)
         up = max(parents[b.node], 0)
         above = max(parents[up], 0)
-        out[i] = (
+        out.append((
             1.0, min(1.0, math.log1p(length) / 5), length > 150, min(b.link, len(text)) / len(text), min(4, commas) / 4, SENTENCE.search(text) is not None,
             DIGITS.search(text) is not None, tag in HEADINGS, tag in ("li", "dt", "dd"), tag in ("td", "th"), tag in _PARAGRAPH, b.pre, marked[i],
             max(0.0, 1 - 8 * i / last), max(0.0, 4 * i / last - 3), chars[up] / whole, links[up] / max(chars[up], 1), min(texts[up], 20) / 20,
@@ -138,8 +138,8 @@ def features(page: Page) -> np.ndarray:
             logs[i], logs[i + 2], min(most[up], 300) / 300, min(most[above], 300) / 300, tag == "li" and 2 * b.link > len(b.text), page.hints[up] != "",
             i > 0 and tags[blocks[i - 1].node] == tag,
             min(prose[up], 5) / 5, prose[up] / max(prose[0], 1), min(prose[above], 5) / 5, prose[above] / max(prose[0], 1), texts[up] == 1,
-        )
-    return out
+        ))
+    return np.array(out, np.float64).reshape(len(blocks), len(FEATURES))
 
 
 def edges_of(page: Page, adjacent: float, same: float) -> list[tuple[int, int, float]]:
@@ -219,9 +219,9 @@ def fit_content(htmls: list[str]) -> ContentModel:
         return fit_weights(np.vstack([rows[i] for i in some]), np.concatenate([labels[i] for i in some]).astype(float))
 
     half, best = weights(range(0, len(pages), 2)), (None, CAPACITIES[1])
+    held = [(pages[i], np.clip(rows[i] @ half, -MOST, MOST).tolist(), labels[i]) for i in range(1, len(pages), 2)]
     for adjacent, same in CAPACITIES:
-        model = ContentModel(half, adjacent, same)
-        wrong = sum(x != y for i in range(1, len(pages), 2) for x, y in zip(model.labels(pages[i]), labels[i]))
+        wrong = sum(x != y for page, prefer, own in held for x, y in zip(min_cut(prefer, edges_of(page, adjacent, same)), own))
         if best[0] is None or wrong < best[0]:
             best = (wrong, (adjacent, same))
     return ContentModel(weights(range(len(pages))), *best[1])
