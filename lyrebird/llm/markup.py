@@ -27,7 +27,7 @@ FEATURES = (
     "parent_prose", "parent_prose_share", "above_prose", "above_prose_share", "alone",
 )
 #: Pages on which the classifier is fitted, chosen by the hash of their html; longer ones than so many characters aren't.
-SAMPLE, SAMPLE_CHARS = 1500, 400_000
+SAMPLE, SAMPLE_CHARS = 1500, 100_000
 #: Weight of the prior, strength of its pull in the fit, steps of the fit, and the bound of one block's log odds.
 PRIOR = {"bias": -1.5, "length": 2.0, "link": -4.0, "sentence": 1.0, "paragraph": 1.0, "heading": 0.5, "marked": -3.0, "parent_share": 2.0}
 PULL, STEPS, MOST = 1.0, 12, 6.0
