@@ -47,13 +47,15 @@ def counted_tokens(sets: DataFrame, every: int = HOT_EVERY, share: float = HOT_S
     picked = sets.where(F.pmod(F.xxhash64("cls"), F.lit(every)) == 0)
     least = F.broadcast(picked.agg(F.greatest(F.lit(2.0), F.count("*") * F.lit(share)).alias("least")))  # a single row
     often = picked.select(each).groupBy("token").agg(F.count("*").alias("k")).where("token is not null")
-    hot = often.crossJoin(least).where("k > least").orderBy(F.desc("k"), "token").limit(MOST_HOT).select("token", (F.col("k") * every).alias("about"))
-    rows = sets.select("cls", "n", each).join(F.broadcast(staged(hot, "hot")), "token", "left").where("token is not null")
+    hottest = often.crossJoin(least).where("k > least").orderBy(F.desc("k"), "token").limit(MOST_HOT)
+    hot = staged(hottest.select("token", (F.col("k") * every).alias("about")), "hot")
+    rows = sets.select("cls", "n", each).join(F.broadcast(hot), "token", "left").where("token is not null")
     # one number to deal and sort by: should that of a hot row be another token's too, that token isn't taken for a lone one
     key = F.when(F.col("about").isNull(), F.col("token")).otherwise(F.xxhash64("token", "cls"))
-    dealt = rows.select("cls", "n", key.alias("key"), "about", F.when(F.col("about").isNotNull(), F.col("token")).alias("hot"))
-    counted = dealt.withColumn("df", F.coalesce("about", F.count(F.lit(1)).over(Window.partitionBy("key"))))
-    return counted.where("df > 1").select("cls", "n", F.coalesce("hot", "key").alias("token"), "df")
+    dealt = rows.select("cls", "n", key.alias("key"), F.when(F.col("about").isNotNull(), F.col("token")).alias("hot"))
+    counted = dealt.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("k > 1 or hot is not null")
+    known = counted.join(F.broadcast(hot.withColumnRenamed("token", "hot")), "hot", "left")
+    return known.select("cls", "n", F.coalesce("hot", "key").alias("token"), F.coalesce("about", "k").alias("df"))
 
 
 def similar_classes(sets: DataFrame, threshold: Fraction | list[Fraction], every: int = HOT_EVERY) -> DataFrame:
@@ -114,7 +116,8 @@ def similar_classes(sets: DataFrame, threshold: Fraction | list[Fraction], every
 
 @dataclass
 class Collection:
-    """Texts (id bigint, text string) to compare, how they are cut into sets, and from which similarity on.
+    """Texts (id bigint, text string) to compare, how they are cut into sets, and from which similarity on. A column ``row``,
+    if there is one, is a number that each row of the texts always has and no other.
 
     ``tokens`` turns (cls, text) into (cls, tokens array<bigint>, distinct, not empty)."""
 
@@ -131,14 +134,18 @@ def near_duplicates(collections: list[Collection]) -> tuple[DataFrame, DataFrame
     with several texts is in several classes."""
     rows = None
     for f, c in enumerate(collections):
-        part = c.texts.where("text is not null").select(F.lit(f).alias("f"), "id", "text", F.unhex(F.md5("text")).alias("sig"))
+        texts = c.texts if "row" in c.texts.columns else staged(c.texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+        part = texts.where("text is not null").select(F.lit(f).alias("f"), "row", "id", "text")
         rows = part if rows is None else rows.unionByName(part)
-    classes = staged(rows.groupBy("f", "sig").agg(F.first("text").alias("text")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    # narrow rows settle the classes; then each class's text is looked up, and no other text is moved
+    signed = staged(rows.select("f", "row", "id", F.unhex(F.md5("text")).alias("sig")), "signed")
+    first = staged(signed.groupBy("f", "sig").agg(F.min("row").alias("row")).withColumn("cls", F.monotonically_increasing_id()), "first")
+    classes = staged(rows.select("f", "row", "text").join(first.select("f", "row", "cls"), ["f", "row"]).select("f", "cls", "text"), "classes")
     sets = None
     for f, c in enumerate(collections):
         part = c.tokens(classes.where(F.col("f") == f).select("cls", "text")).select("cls", "tokens", F.lit(f).alias("f"))
         sets = part if sets is None else sets.unionByName(part)
-    membership = rows.select("f", "id", "sig").join(classes.select("f", "sig", "cls"), ["f", "sig"]).select("f", "id", "cls").distinct()
+    membership = signed.join(first.select("f", "sig", "cls"), ["f", "sig"]).select("f", "id", "cls").distinct()
     return staged(membership, "membership"), similar_classes(sets, [c.threshold for c in collections])
 
 
@@ -203,7 +210,7 @@ def articles(pages: DataFrame, threshold: Fraction = Fraction(3, 5), words: int
     """The articles of ``least`` words or more of pages, by their word shingles."""
     bodies = main_bodies(pages)
     text = F.concat_ws(" ", F.transform("blocks", lambda b: b.words))
-    texts = bodies.select(F.col("page_id").alias("id"), text.alias("text")).where(word_count("text") >= max(least, words))
+    texts = bodies.select("row", F.col("page_id").alias("id"), text.alias("text")).where(word_count("text") >= max(least, words))
     return Collection(texts, shingles(words), threshold)
 
 

@@ -158,8 +158,8 @@ def repeated_lines(candidates: DataFrame, least: int = 3, share: float = 0.5, ow
 
 
 def main_bodies(pages: DataFrame, page_id: str = "page_id", html: str = "html_content", url: str = "url", with_text: bool = False) -> DataFrame:
-    """(page_id, blocks): the main blocks of each page in order, each with its key, its words joined by blanks and, if asked
-    for, its text.
+    """(row, page_id, blocks): the main blocks of each page in order, each with its key, its words joined by blanks and, if
+    asked for, its text; ``row`` is a number of its own for each row.
 
     The pages are parsed once; what that gives is kept as a table, read again for the lines that sites repeat. Those are
     looked up by line, not by site, so that a site of any size is never one row or one task. Rows with null or empty html,
@@ -172,7 +172,7 @@ def main_bodies(pages: DataFrame, page_id: str = "page_id", html: str = "html_co
     gone = staged(held.join(lines, ["site", "mask"], "left_semi").groupBy("row").agg(F.collect_list("pos").alias("gone")), "gone")  # at most a page's blocks
     free = F.filter("blocks", lambda b, i: F.col("gone").isNull() | ~F.array_contains("gone", i))
     fields = ("key", "words", "text") if with_text else ("key", "words")
-    return kept.where(F.size("blocks") > 0).join(gone, "row", "left").select("page_id", F.transform(free, lambda b: F.struct(*(b[f].alias(f) for f in fields))).alias("blocks")).where(F.size("blocks") > 0)
+    return kept.where(F.size("blocks") > 0).join(gone, "row", "left").select("row", "page_id", F.transform(free, lambda b: F.struct(*(b[f].alias(f) for f in fields))).alias("blocks")).where(F.size("blocks") > 0)
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
