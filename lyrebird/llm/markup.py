@@ -31,6 +31,8 @@ SAMPLE, SAMPLE_CHARS = 1500, 100_000
 #: Weight of the prior, strength of its pull in the fit, steps of the fit, and the bound of one block's log odds.
 PRIOR = {"bias": -1.5, "length": 2.0, "link": -4.0, "sentence": 1.0, "paragraph": 1.0, "heading": 0.5, "marked": -3.0, "parent_share": 2.0}
 PULL, STEPS, MOST = 1.0, 12, 6.0
+#: Log odds by which content is preferred: text that is lost costs more than a line too many.
+KEEP = 1.0
 #: Capacities that the fit chooses from: between neighbours in document order, and between texts of one element.
 CAPACITIES = ((0.0, 0.0), (0.5, 0.5), (1.0, 1.0), (2.0, 1.0), (1.0, 2.0), (2.0, 2.0), (3.0, 3.0), (2.0, 4.0), (4.0, 4.0))
 
@@ -170,7 +172,7 @@ class ContentModel:
 
     def prefer(self, page: Page) -> list[float]:
         """Each block's log odds of being content: its capacity to the source, or, negative, to the sink."""
-        return np.clip(features(page) @ self.weights, -MOST, MOST).tolist()
+        return np.clip(features(page) @ self.weights + KEEP, -MOST, MOST).tolist()
 
     def labels(self, page: Page, smooth: bool = True) -> list[bool]:
         """The labels of the minimum cut; not ``smooth``: those of the classifier alone."""
