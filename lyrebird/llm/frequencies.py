@@ -220,17 +220,15 @@ def latest_stats(stats: DataFrame) -> DataFrame:
     """One row for each stats_id: its row with the latest computed_at; among equals the one with the larger counts, then with
     the larger hash of its maps. Rows of null stats_id are left out.
 
-    The winners are found on narrow columns. A row that alone has its stats_id's latest date and counts is taken as it is,
-    without a grouping; only of repeated ones the maps are grouped."""
-    ahead = F.struct("computed_at", "total_tokens", "unique_tokens", "unique_stems", "total_bytes", "total_documents")
-    rows = stats.where("stats_id is not null").select("stats_id", ahead.alias("ahead"), "token_freq", "stem_freq")
-    narrow = rows.groupBy("stats_id", "ahead").agg(F.count("*").alias("n"))
-    best = staged(narrow.groupBy("stats_id").agg(F.max(F.struct("ahead", "n")).alias("b")).select("stats_id", "b.ahead", "b.n"), "winners")
-    alone = rows.join(best.where("n = 1").select("stats_id", "ahead"), ["stats_id", "ahead"], "left_semi").select("stats_id", "token_freq", "stem_freq")
-    equal = rows.join(best.where("n > 1").select("stats_id", "ahead"), ["stats_id", "ahead"], "left_semi")
+    Which stats_id repeat is found on their column alone. The rows of the others are taken as they are, without a grouping;
+    only the maps of repeated ones are grouped."""
+    rows = stats.where("stats_id is not null")
+    several = staged(rows.groupBy("stats_id").agg(F.count("*").alias("n")).where("n > 1").select("stats_id"), "several")
     of_maps = F.xxhash64(F.map_entries("token_freq"), F.map_entries("stem_freq"))
-    one = equal.groupBy("stats_id").agg(F.max_by(F.struct("token_freq", "stem_freq"), of_maps).alias("m")).select("stats_id", "m.token_freq", "m.stem_freq")
-    return alone.unionByName(one)
+    ahead = F.struct("computed_at", "total_tokens", "unique_tokens", "unique_stems", "total_bytes", "total_documents", of_maps)
+    best = rows.join(several, "stats_id", "left_semi").groupBy("stats_id").agg(F.max_by(F.struct("token_freq", "stem_freq"), ahead).alias("m"))
+    alone = rows.select("stats_id", "token_freq", "stem_freq").join(several, "stats_id", "left_anti")
+    return alone.unionByName(best.select("stats_id", "m.token_freq", "m.stem_freq"))
 
 
 #: The maps of a row of statistics by the kind of their terms.
