@@ -45,7 +45,7 @@ def _arguments() -> argparse.ArgumentParser:
 
 
 def _crawl(spark: SparkSession, a: argparse.Namespace) -> None:
-    from lyrebird.operators.crawler import crawl
+    from lyrebird.operators.waves import crawl
     from lyrebird.sources.index_store import load_config
     from lyrebird.streaming.ingest import Store
 

@@ -14,7 +14,7 @@ from lyrebird.operators import search as S
 from lyrebird.operators.index import Index, build
 from lyrebird.plans.query import parse, set_sql
 from lyrebird.plans.staging import shared_path, staged
-from lyrebird.operators.crawler import crawl as run_crawl
+from lyrebird.operators.waves import crawl as run_crawl
 from lyrebird.sources.index_store import open_index, read_documents, write_index
 from lyrebird.sources.reports import write_rank_table
 from lyrebird.streaming.ingest import Store, ingest, read_landing

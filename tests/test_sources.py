@@ -108,11 +108,11 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
 
 def test_crawl_command(spark, tmp_path, monkeypatch, capsys):
     from lyrebird import fixtures
-    from lyrebird.operators import crawler
+    from lyrebird.operators import waves
     from lyrebird.streaming.ingest import Store
 
-    real = crawler.crawl
-    monkeypatch.setattr(crawler, "crawl", lambda *a, **k: real(*a, **{**k, "get": fixtures.web, "sleep": lambda s: None}))
+    real = waves.crawl
+    monkeypatch.setattr(waves, "crawl", lambda *a, **k: real(*a, **{**k, "get": fixtures.web, "sleep": lambda s: None}))
     (tmp_path / "config.json").write_text(json.dumps({"logic": {"sources": [{"name": "h", "url": "http://h/s"}], "max_depth": 3, "max_pages": 3}}))
     assert main(["crawl", f"{tmp_path}/config.json", f"file://{tmp_path}/store"]) == 0
     assert "asked 3" in capsys.readouterr().out.splitlines()[-1]
@@ -120,7 +120,7 @@ def test_crawl_command(spark, tmp_path, monkeypatch, capsys):
     assert {r.url for r in store.current().collect()} == {"http://h/s", "http://h/a", "http://h/b"}
     # a second run goes on with the links of what is stored, and asks for nothing again
     asked = []
-    monkeypatch.setattr(crawler, "crawl", lambda *a, **k: real(*a, **{**k, "get": fixtures.web, "sleep": lambda s: None, "report": asked.append}))
+    monkeypatch.setattr(waves, "crawl", lambda *a, **k: real(*a, **{**k, "get": fixtures.web, "sleep": lambda s: None, "report": asked.append}))
     (tmp_path / "config.json").write_text(json.dumps({"logic": {"sources": [{"name": "h", "url": "http://h/s"}], "max_depth": 3, "max_pages": 0}}))
     assert main(["crawl", f"{tmp_path}/config.json", f"file://{tmp_path}/store"]) == 0
     assert {r.url for r in store.current().collect()} == {f"http://h/{x}" for x in "sabcde"}
