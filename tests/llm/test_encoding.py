@@ -173,3 +173,62 @@ def test_titles_are_sampled(spark, tmp_path, monkeypatch):
     seen = []
     monkeypatch.setattr(encoding, "fit", lambda texts: seen.extend(texts) or fit(texts))
     assert encoding.p2_found(spark, str(tmp_path)).count() == 0 and sorted(seen) == ["заглавие", "страница"]
+
+
+def test_all_texts_are_fitted_on(spark, tmp_path, monkeypatch):
+    """Of 900 pages and 900 titles, and of a long page, nothing is left out of the model."""
+    from lyrebird.llm import encoding
+
+    rng = random.Random(31)
+    pages = [f"<p>{russian(5, rng)} {i}</p>" for i in range(899)] + ["д" * 70_000 + "ű" + "м" * 70_000]
+    titles = [f"{western(3, FRENCH, rng)} {i}" for i in range(900)]
+    spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html_content string").write.parquet(f"{tmp_path}/crawled.parquet")
+    spark.createDataFrame(list(enumerate(titles)), "doc_id bigint, title string").write.parquet(f"{tmp_path}/docinfo.parquet")
+    seen = []
+    monkeypatch.setattr(encoding, "fit", lambda texts: seen.extend(texts) or fit(texts))
+    assert encoding.p2_found(spark, str(tmp_path)).count() == 0 and sorted(seen) == sorted(pages + titles)
+
+
+def test_tasks_count_as_one_list(spark, model):
+    from lyrebird.llm.encoding import Texts, clean_statistics
+
+    rng = random.Random(32)
+    texts = [f"<p>{russian(30, rng)} — «{western(5, FRENCH, rng)}»" for _ in range(60)] + [garble(russian(30, rng), "cp1251", "utf-8") for _ in range(20)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "t string").repartition(7)
+    got, want = Texts((df, "t"), (df.limit(0), "t")).clean_statistics(model), clean_statistics(texts, model)
+    assert dict(zip(got.pairs.tolist(), got.times.tolist())) == dict(zip(want.pairs.tolist(), want.times.tolist()))
+    more = {w: n for w, n in zip(want.words.tolist(), want.uses.tolist()) if n > 1}
+    assert more and dict(zip(got.words.tolist(), got.uses.tolist())) == more
+    none = Texts((df.limit(0), "t")).clean_statistics(model)
+    assert len(none.pairs) == len(none.words) == 0
+
+
+@pytest.mark.parametrize("pair", [("cp1252", "utf-8"), ("koi8-r", "utf-8"), ("cp1251", "utf-8 utf-8"), ("cp1252", "gb18030"), ("koi8-r", "cp1251")])
+def test_counts_of_garbled_text_follow_from_those_of_the_text(pair):
+    """The pairs counted once and turned by each character's image are those of the garbled texts themselves."""
+    import numpy as np
+
+    from lyrebird.llm.encoding import AFTER, KINDS, SHIFT, _Images, statistics
+
+    rng = random.Random(33)
+    texts = [f"{russian(20, rng)} — «А»! 12 {western(9, FRENCH if pair[1] != 'cp1251' else ['der', 'Xylophon'], rng)} {russian(4, rng)}" for _ in range(9)]
+    stats = statistics(texts)
+    model, first, second = fit(texts), stats.pairs >> SHIFT, stats.pairs & ((1 << SHIFT) - 1)
+    letter = first % KINDS < AFTER, second % KINDS < AFTER
+    first, second = (x // KINDS * AFTER + x % AFTER for x in (first, second))
+    units = np.union1d([0], np.concatenate([first, second]))
+    a, b = np.searchsorted(units, first), np.searchsorted(units, second)
+    once = np.bincount(b[letter[1]], stats.times[letter[1]], len(units))
+    got = _Images(units, pair).pairs(model.cls, model.n, a, b, letter, stats.times, once)
+    want = sum(np.bincount(model._codes(garble(t, *pair)), minlength=model.n**2) for t in texts)
+    assert (got.reshape(-1) == want).all()
+
+
+def test_spans_side_by_side_and_garbled_twice(model):
+    """Garbled twice as Latin-1: control characters stand for those of cp1252, and no part of such a stretch is left."""
+    text = "für didos’s, Verließ spätes Konzert, Größe Straße gegründet hörte — Übung café"
+    bad = text
+    for _ in range(2):
+        bad = bad.encode().decode("latin-1")
+    bad = f"<p>der Stück {bad} und</p>"
+    assert model.restore(bad, model.spans([bad])[0])[0] == f"<p>der Stück {text} und</p>"
