@@ -232,3 +232,51 @@ def test_spans_side_by_side_and_garbled_twice(model):
         bad = bad.encode().decode("latin-1")
     bad = f"<p>der Stück {bad} und</p>"
     assert model.restore(bad, model.spans([bad])[0])[0] == f"<p>der Stück {text} und</p>"
+
+
+def test_what_repeats_is_judged_once(model, monkeypatch):
+    """A menu that stands on many pages is decoded and turned back once, with the same spans and text on each page."""
+    from lyrebird.llm.encoding import GarbleModel
+
+    rng = random.Random(41)
+    menu = garble(russian(12, rng), "cp1251", "utf-8")
+    texts = [f"<p>page {'x' * i}</p> {menu} <p>{'y' * i} end</p>" for i in range(30)]
+    decoded, tried = [], []
+    viterbi, inverse = GarbleModel._viterbi, GarbleModel._turned
+    monkeypatch.setattr(GarbleModel, "_viterbi", lambda self, todo, *more: decoded.extend(todo) or viterbi(self, todo, *more))
+    monkeypatch.setattr(GarbleModel, "_turned", lambda self, *span: tried.append(span) or inverse(self, *span))
+    monkeypatch.setattr(model, "tried", {})
+    spans = model.spans(texts)
+    alone = [model.spans([t])[0] for t in texts]
+    assert spans == alone and all(spans) and len(decoded) == 1 + len(texts)
+    texts = [f"<p>page {'x' * 12} {word} </p>" for word in [garble("скрипка", "cp1251", "utf-8")] * 30]
+    spans = model.spans(texts)
+    got = [model.restore(t, s)[0] for t, s in zip(texts, spans)]
+    assert got == [f"<p>page {'x' * 12} скрипка </p>"] * 30 and 1 <= len(tried) == len(set(tried))
+
+
+def test_likelihood_of_short_and_long_texts(model):
+    """The loop over a short text gives what the arrays give."""
+    from lyrebird.llm.encoding import SHORT
+
+    rng = random.Random(42)
+    for text in ["", "!", " — «А»! 12", "Ærø 音楽 Σ�\x85", russian(8, rng), western(8, FRENCH, rng), garble(russian(6, rng), "cp1251", "utf-8")]:
+        assert len(text) <= SHORT and model.likelihood(text) == pytest.approx(float(model.clean[model._codes(text)].sum(dtype=float)) if text else 0.0, abs=1e-9)
+
+
+def test_paths_are_those_of_every_choice(model):
+    """The labels of short texts are those of the best of all paths, which enter, stay and leave at every place."""
+    import numpy as np
+
+    from lyrebird.llm.encoding import ENTER, LEAVE
+
+    rng = random.Random(43)
+    for pair in [("cp1251", "utf-8"), ("cp1252", "cp1251"), ("koi8-r", "cp1251")]:
+        text = f"{russian(3, rng)} {garble(russian(2, rng), *pair)} {russian(3, rng)} {garble(russian(2, rng), *pair)}"
+        odds = model.odds[:, model._codes(text)].astype(float)
+        clean, inside = 0.0, np.full(len(odds), -1e9)
+        for t in range(len(text)):
+            clean, inside = max(clean, inside.max() - LEAVE), np.maximum(inside, clean - ENTER) + odds[:, t]
+        got = -sum(ENTER + LEAVE * (z < len(text)) for _, z, _ in model.spans([text])[0])
+        got += sum(odds[k, a:z].sum() for a, z, k in model.spans([text])[0])
+        assert got == pytest.approx(max(clean, inside.max()), abs=0.01) and got > 0
